@@ -20,8 +20,9 @@ import zlib
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.plans.arrow import slices
@@ -105,6 +106,37 @@ def _scan(docs: DataFrame, items: list, size: int, id_col: str, text_col: str) -
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, spans array<struct<start:int,end:int,words:int>>, items array<string>")
 
 
+def _shards(benchmark: DataFrame, words: int) -> Iterator[list[tuple[str | None, str]]]:
+    """The items' ids and texts, in parts of about ``words`` words; a part is collected to the driver."""
+    texts = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("body")).where(F.length("body") > 0)
+    count = texts.agg(F.sum(F.regexp_count("body", F.lit(WORD.pattern))).alias("n")).first().n or 0
+    shards = max(1, -(-int(count) // words))
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("item", "body"), F.lit(shards)))
+    for i in range(shards):
+        yield [(r.item, r.body) for r in dealt.where(F.col("shard") == i).select("item", "body").collect()]
+
+
+def _hit(items: list, spark: SparkSession, size: int):
+    """A function of a text column: whether a window of an item occurs."""
+    shared = spark.sparkContext.broadcast(items)
+
+    @F.pandas_udf("boolean")
+    def hit(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        windows = _windows(shared.value, size)
+        for texts in parts:
+            yield pd.Series([bool(windows.scan(words_of(t))[0]) for t in texts], dtype=bool)
+
+    return hit
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window of an item occurs."""
+    prepare(docs.sparkSession)
+    for items in _shards(benchmark, words):
+        docs = docs.where(~_hit(items, docs.sparkSession, size)(F.col(text_col)))
+    return docs
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``id_col, n_words, spans, items`` for each document.
 
@@ -112,17 +144,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "d
     of the items of which a window occurs, sorted as strings.
     """
     prepare(docs.sparkSession)
-    texts = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("body")).where(F.length("body") > 0)
-    count = texts.agg(F.sum(F.regexp_count("body", F.lit(WORD.pattern))).alias("n")).first().n or 0
-    shards = max(1, -(-int(count) // words))
-    collect = lambda df: [(r.item, r.body) for r in df.collect()]
-    if shards == 1:
-        return _scan(docs, collect(texts), size, id_col, text_col)
+    shards = list(_shards(benchmark, words))
+    if len(shards) == 1:
+        return _scan(docs, shards[0], size, id_col, text_col)
     own = stored(docs.select(id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "decontaminate")
-    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("item", "body"), F.lit(shards)))
     parts = None
-    for i in range(shards):
-        part = _scan(own, collect(dealt.where(F.col("shard") == i)), size, "row", text_col)
+    for items in shards:
+        part = _scan(own, items, size, "row", text_col)
         parts = part if parts is None else parts.unionByName(part)
     merged = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # spans of different automata may overlap: a word is counted in the first run that holds it

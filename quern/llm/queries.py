@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import byte_bpe, decontaminate, exact_topk, secrets, token_files, url_reputation, warc
+from quern.llm import bagminhash, byte_bpe, cotraining, decontaminate, exact_topk, secrets, token_files, url_reputation, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classified(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = url_reputation.filter_urls(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"), RULES)
     return got.drop("bound")
@@ -44,6 +48,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path, ids=False)
 
 
+def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(_read(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, names = warc.write(_read(spark, sf_dir, "pages"), least=0)
     return warc.read(spark, path, names).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
