@@ -18,6 +18,7 @@ space and split there, which ``check_splits`` proves from its file.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,8 +33,11 @@ from tokenizers import Tokenizer
 from quern.plans.arrow import slices
 from quern.plans.shared import new_path, prepare
 
-#: Runs of characters that a worker keeps; more only cost time.
-CACHE_ENTRIES = 300_000
+#: Runs of characters that a worker keeps, some 200 bytes each; more only cost time.
+CACHE_ENTRIES = 1_000_000
+#: Runs of ASCII that the tokenizer splits into these pieces, as its own pattern does once they are in lower case.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACES = "\t\n\r"
 
 
@@ -43,7 +47,7 @@ def check_splits(tokenizer: str) -> bool:
     steps = lambda x, key: x[key] if x and x["type"] == "Sequence" else [x] if x else []
     norm, pre = steps(spec["normalizer"], "normalizers"), steps(spec["pre_tokenizer"], "pretokenizers")
     known = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " " for x in norm)
-    split = bool(pre) and pre[0]["type"] == "Split" and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and "\\s" in pre[0]["pattern"]["Regex"] and " ?" not in pre[0]["pattern"]["Regex"]
+    split = bool(pre) and pre[0]["type"] == "Split" and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and pre[0]["pattern"] == {"Regex": PATTERN}
     bytewise = len(pre) == 2 and pre[1]["type"] == "ByteLevel" and not pre[1]["add_prefix_space"]
     plain = all(not (a["lstrip"] or a["rstrip"] or a["single_word"]) and not set(a["content"]) & set(" \t\n\r") for a in spec["added_tokens"])
     return known and split and bytewise and plain and not spec["truncation"] and not spec["padding"] and not spec["post_processor"]
@@ -62,7 +66,14 @@ class Encoder(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def __missing__(self, run: str) -> bytes:
-        got = self._ids(run)
+        pieces = [run]
+        if run.isascii():
+            if "<" not in run:  # which may begin a special token
+                pieces = PIECE.findall(run.lower())
+        elif len(run) > 1 and run[-1] in ",." and (run[-2].isascii() and run[-2].isalpha() or "\xdf" <= run[-2] <= "\xf6" or "\xf8" <= run[-2] <= "\xff"):
+            # a Latin letter and a mark of ASCII are never in one piece, nor one composed character
+            pieces = [run[:-1], run[-1]]
+        got = self._ids(run) if pieces == [run] else b"".join([self[x] for x in pieces])
         if len(run) <= 64:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()

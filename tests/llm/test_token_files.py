@@ -28,7 +28,7 @@ def test_runs_between_spaces_are_enough():
         spec = f.read()
     own = token_files.Encoder(spec)
     assert own.by_run
-    for text in ("a \u0301b", "A\u00a0B\x1cC\x85D", "x<|endoftext|>y <|startoftext|>", "ΑΣ ΑΣ.", "'s 'T it's \r\n", "\u2028 z", "e\u0301 \u1100\u1161 \u11a8"):
+    for text in ("a \u0301b", "A\u00a0B\x1cC\x85D", "x<|endoftext|>y <|startoftext|>", "ΑΣ ΑΣ.", "'s 'T it's \r\n", "\u2028 z", "e\u0301 \u1100\u1161 \u11a8", "Word, WORD. don't DON'T, x&&&. a\x1cb \x0cq été, ÉTÉ. İ, ÷, ß. <|ENDOFTEXT|> =\u0338 a,\u0338 12.5, \x00 , . '"):
         assert own.encode(text) == own._ids(text), text
 
 
