@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bagminhash, byte_bpe, cotraining, decontaminate, exact_topk, secrets, token_files, url_reputation, warc
+from quern.llm import bagminhash, byte_bpe, cotraining, decontaminate, exact_topk, run_index, secrets, token_files, url_reputation, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,13 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op6_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, nodes = run_index.removed(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate(F.transform("spans", lambda s: (s["end"] - s["start"]).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    found = nodes.select("node", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select("doc_id", F.col("__node").alias("node")).join(found, "node").drop("node")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.write(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return token_files.read(spark, path, ids=False)
