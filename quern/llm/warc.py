@@ -173,8 +173,8 @@ def write(pages: DataFrame, path: str | None = None, least: int = 0, segment: in
 SEGMENT_SCHEMA = "origin string, number int, total long, kind string, page_id long, refers_to long, digest string, length long, block binary"
 
 
-def read_segments(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """A row for each record of the archives: ``origin`` is the identifier that its segments share."""
+def read_segments(spark: SparkSession, path: str, names: list[str], split: bool | None = None) -> DataFrame:
+    """A row for each record of the archives, or only for those that are (not) segments: ``origin`` is the identifier that segments share."""
     prepare(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +186,8 @@ def read_segments(spark: SparkSession, path: str, names: list[str]) -> DataFrame
                     rows, size = [], 0
                     for data in members(stream):
                         for head, block in records(data):
+                            if split is not None and split != ("warc-segment-number" in head):
+                                continue
                             number = lambda key: int(head[key]) if key in head else None  # noqa: B023, E731
                             rows.append((head.get("warc-segment-origin-id", head["warc-record-id"]), number("warc-segment-number"), number("warc-segment-total-length"), head["warc-type"], number("x-page-id"), number("x-refers-to-page-id"), head.get("warc-payload-digest", "").removeprefix("sha1:"), number("x-payload-length"), block))
                             size += len(block)
@@ -225,5 +227,6 @@ def payloads(whole: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """The archives' pages, reassembled and decoded."""
-    return payloads(reassembled(read_segments(spark, path, names)))
+    """The archives' pages, reassembled and decoded. Only segments are shuffled: the archives are read once more for whole records."""
+    whole = read_segments(spark, path, names, split=False).select("kind", "page_id", "refers_to", "digest", "length", "block")
+    return payloads(whole.unionByName(reassembled(read_segments(spark, path, names, split=True))))
