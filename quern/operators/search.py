@@ -32,7 +32,7 @@ def keywords(queries: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def scored(postings: DataFrame, words: DataFrame, size: int, dfs: DataFrame | None = None) -> DataFrame:
-    """``qid, doc_id, score`` (six places) of every document that holds a keyword."""
+    """``qid, doc_id, score, place`` of every document that holds a keyword; place is the score to six places, which ranks."""
     wanted = words.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
     counts = postings.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     known = dfs.select("term", "df") if dfs is not None else counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -43,13 +43,13 @@ def scored(postings: DataFrame, words: DataFrame, size: int, dfs: DataFrame | No
     full = sums.join(length.where("words > 1"), ["qid", "terms"]).select("qid", "doc_id", "words")
     runs = postings.join(words, "term").join(full, ["qid", "doc_id"]).groupBy("qid", "doc_id", (F.col("pos") - F.col("qpos")).alias("at"), "words").agg(F.count(F.lit(1)).alias("n"))
     phrase = runs.where("n = words").select("qid", "doc_id").distinct().withColumn("bonus", F.lit(BONUS))
-    out = sums.join(phrase, ["qid", "doc_id"], "left")
-    return out.select("qid", "doc_id", F.round(F.col("score") + F.coalesce("bonus", F.lit(0.0)), 6).alias("score"))
+    out = sums.join(phrase, ["qid", "doc_id"], "left").select("qid", "doc_id", (F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
+    return out.withColumn("place", F.round("score", 6))
 
 
 def batch_search(postings: DataFrame, queries: DataFrame, size: int, k: int = TOP, strict: bool = False, dfs: DataFrame | None = None) -> DataFrame:
     """``qid, rank, doc_id, score``: the k best documents of each of ``queries`` (qid, query)."""
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
+    best = Window.partitionBy("qid").orderBy(F.desc("place"), "doc_id")
     ranked = scored(postings, keywords(queries, strict), size, dfs).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("qid", "rank", "doc_id", F.round("score", 4).alias("score"))
 
@@ -62,8 +62,8 @@ def search(index: Index, query: str, k: int = TOP, strict: bool = False) -> Data
         return spark.createDataFrame([], "rank int, doc_id long, score double")
     words = spark.createDataFrame([(0, i, t) for i, t in enumerate(terms)], "qid int, qpos int, term string")
     held = F.col("term").isin(sorted(set(terms)))
-    found = scored(index.postings.where(held), F.broadcast(words), index.size, index.terms.where(held)).orderBy(F.desc("score"), "doc_id").limit(k)
-    ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
+    found = scored(index.postings.where(held), F.broadcast(words), index.size, index.terms.where(held)).orderBy(F.desc("place"), "doc_id").limit(k)
+    ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("place"), "doc_id")))
     return ranked.select("rank", "doc_id", F.round("score", 4).alias("score"))
 
 

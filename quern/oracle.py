@@ -71,8 +71,8 @@ s AS (SELECT w.qid, tf.doc_id, sum(tf.tf * {idf('d.df')}) AS score FROM w JOIN t
 n AS (SELECT qid, count(*) AS words FROM w GROUP BY ALL),
 p AS (SELECT DISTINCT qid, doc_id FROM (
   SELECT w.qid, t.doc_id, t.pos - w.qpos AS at, count(DISTINCT w.qpos) AS c FROM w JOIN t USING (term) GROUP BY ALL) JOIN n USING (qid) WHERE c = words AND words > 1),
-r AS (SELECT s.qid, s.doc_id, round(s.score + CASE WHEN p.doc_id IS NULL THEN 0 ELSE {S.BONUS} END, 6) AS score FROM s LEFT JOIN p ON p.qid = s.qid AND p.doc_id = s.doc_id),
-k AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r)
+r AS (SELECT s.qid, s.doc_id, s.score + CASE WHEN p.doc_id IS NULL THEN 0 ELSE {S.BONUS} END AS score FROM s LEFT JOIN p ON p.qid = s.qid AND p.doc_id = s.doc_id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM r)
 SELECT qid, rank, doc_id, round(score, 4) AS score FROM k WHERE rank <= {k}"""
 
 

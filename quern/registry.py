@@ -301,7 +301,7 @@ def sample_folder(spark: SparkSession) -> str:
     return path
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'a.html', chr(10) || 'some html' || chr(10)), (1, 'b.txt', 'plain text'), (2, 'c.pdf', 'hello world and more '), (3, 'd.pdf', 'packed (page) and more '), (4, 'e.docx', 'first line' || chr(10) || chr(10) || 'second line' || chr(10) || chr(10)), (5, 'g.txt', '')) v(doc_id, file_name, text)")
+@query("SELECT * FROM (VALUES (0::BIGINT, 'a.html', chr(10) || 'some html' || chr(10)), (1, 'b.txt', 'plain text'), (2, 'c.pdf', 'hello world and more '), (3, 'd.pdf', 'packed (page) and more '), (4, 'e.docx', 'first line' || chr(10) || 'second line' || chr(10)), (5, 'g.txt', '')) v(doc_id, file_name, text)")
 def file_documents(spark, d):
     return files.read_documents(spark, sample_folder(spark)).select("doc_id", "file_name", "text")
 
@@ -311,7 +311,7 @@ def pdf_text(spark, d):
     return file_documents(spark, d).where("file_name LIKE '%.pdf'").select("file_name", "text")
 
 
-@query("SELECT 'e.docx' AS file_name, 'first line' || chr(10) || chr(10) || 'second line' || chr(10) || chr(10) AS text")
+@query("SELECT 'e.docx' AS file_name, 'first line' || chr(10) || 'second line' || chr(10) AS text")
 def docx_text(spark, d):
     return file_documents(spark, d).where("file_name LIKE '%.docx'").select("file_name", "text")
 

@@ -7,9 +7,10 @@ import re
 import zipfile
 import zlib
 from collections.abc import Sequence
+from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -154,24 +155,31 @@ def read_documents(spark: SparkSession, folder: str, docx_join: bool = False, ma
         out = part if out is None else out.unionByName(part)
     if max_bytes:
         out = out.withColumn("text", T.head_bytes(F.col("text"), max_bytes))
-    names = spark.read.format("binaryFile").load(folder).select(_name("path").alias("file_name")).where(T.file_type(F.col("file_name")) != "unknown")
-    # the listing alone is numbered: file names are small beside contents
-    ids = names.select("file_name", (F.row_number().over(Window.orderBy("file_name")) - 1).cast("long").alias("doc_id"))
-    return out.join(ids, "file_name").select("doc_id", "file_name", "text", "modified")
+    names = sorted(name for name, *_ in listed(spark, folder) if _kind(name) != "unknown")
+    times = {name: at for name, _, at in listed(spark, folder)}
+    ids = spark.createDataFrame([(i, name, times[name]) for i, name in enumerate(names)], "doc_id long, file_name string, modified timestamp")
+    # readers pass over empty files: those have their row from the listing
+    return ids.join(out.drop("modified"), "file_name", "left").select("doc_id", "file_name", F.coalesce("text", F.lit("")).alias("text"), "modified")
+
+
+def listed(spark: SparkSession, folder: str) -> list[tuple[str, int, datetime]]:
+    """Name, size and time of the files of a folder (not of its subfolders), through Hadoop's file system; a folder that does not exist has none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = system.listStatus(path) if system.exists(path) else []
+    return [(f.getPath().getName(), f.getLen(), datetime.fromtimestamp(f.getModificationTime() / 1000)) for f in found if f.isFile()]
+
+
+def _kind(name: str) -> str:
+    """``text.file_type`` of a name on the driver."""
+    low = name.lower()
+    return next((kind for ends, kind in ((".txt", "txt"), (".htm", "html"), (".html", "html"), (".pdf", "pdf"), (".docx", "docx")) if low.endswith(ends)), "unknown")
 
 
 def stale(spark: SparkSession, folder: str, built) -> bool:
     """Whether an index of a folder must be built anew: never ``built`` (a time), no folder, no files that are not hidden, or a file newer than it."""
-    if built is None:
-        return True
-    try:
-        files = spark.read.format("binaryFile").load(folder).select(_name("path").alias("name"), "modificationTime").where("NOT startswith(name, '.')")
-        got = files.agg(F.count(F.lit(1)).alias("n"), F.max("modificationTime").alias("last")).first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return True
-        raise
-    return not got.n or got.last > built
+    found = [(name, at) for name, _, at in listed(spark, folder) if not name.startswith(".")]
+    return built is None or not found or max(at for _, at in found) > built
 
 
 def read_stopwords(spark: SparkSession, path: str | None) -> Sequence[str]:

@@ -23,12 +23,12 @@ def test_docx_forms(spark):
 
 
 def test_folder(spark, tmp_path):
-    data = {"B.TXT": b"Text \xff here\x00hidden", "a.htm": b"<p>One</p>", "c.pdf": sample_pdf("Hello", True), "d.docx": sample_docx("x\ny"), "e.png": b"", "sub": None}
+    data = {"B.TXT": b"Text \xff here\x00hidden", "a.htm": b"<p>One</p>", "c.pdf": sample_pdf("Hello", True), "d.docx": sample_docx("x\ny"), "e.png": b"", "f.txt": b"", "sub": None}
     for name, content in data.items():
         (tmp_path / name).mkdir() if content is None else (tmp_path / name).write_bytes(content)
     (tmp_path / "sub" / "z.txt").write_bytes(b"not read")
     rows = files.read_documents(spark, str(tmp_path)).orderBy("doc_id").collect()
-    assert [(r.doc_id, r.file_name) for r in rows] == [(0, "B.TXT"), (1, "a.htm"), (2, "c.pdf"), (3, "d.docx")]
+    assert [(r.doc_id, r.file_name) for r in rows] == [(0, "B.TXT"), (1, "a.htm"), (2, "c.pdf"), (3, "d.docx"), (4, "f.txt")] and rows[4].text == ""
     assert rows[0].text == "text � here" and rows[1].text == "\none\n" and rows[2].text == "hello and more " and rows[3].text.split() == ["x", "y"]
     joined = files.read_documents(spark, str(tmp_path), docx_join=True, max_bytes=4).orderBy("doc_id").collect()
     assert joined[3].text == "xy" and joined[0].text == "text"
