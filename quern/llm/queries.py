@@ -83,3 +83,101 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 10
 """
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '{decontaminate.WORD_SQL}')"
+
+
+def _reputation_sql() -> str:
+    """Rules and host reputation, from the same expressions as the operator's."""
+    u = url_reputation
+    lower = f"translate(coalesce(regexp_extract(url, '{u.URL}', 1), ''), '{u.UPPER}', '{u.LOWER}')"
+    rules, actions = "NULL", "NULL"
+    for action, rule in sorted(RULES, key=lambda r: len(r[1])):
+        host, _, path = rule.partition("/")
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+        rules, actions = f"CASE WHEN {fits} THEN '{rule}' ELSE {rules} END", f"CASE WHEN {fits} THEN '{action}' ELSE {actions} END"
+
+    def level(name: str, members: str) -> str:
+        spread = "(sum(n * pow(bad / n - m, 2) / (m * (1 - m))) - count(*)) / nullif(sum(n - 1), 0)"
+        return f"{name} AS (SELECT 1 / least(greatest(coalesce({spread}, 0), 1e-4), 0.5) - 1 AS k FROM {members} WHERE n > 0 AND m > 0 AND m < 1)"
+
+    shrunk = "(bad + k * m) / (n + k)"
+    return f"""
+WITH l AS (SELECT doc_id AS shown, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS is_bad FROM labels
+  WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
+p AS (SELECT page_id, {lower} AS host, coalesce(regexp_extract(url, '{u.URL}', 2), '') AS path FROM pages),
+s AS (SELECT host, try_cast(nullif(regexp_extract(path, '{u.NUMBER}', 1), '') AS BIGINT) AS shown FROM p),
+h AS (SELECT host, {u.domain_sql('host')} AS domain, {u.suffix_sql('host')} AS suffix, count(is_bad) AS n, CAST(coalesce(sum(is_bad), 0) AS BIGINT) AS bad FROM s LEFT JOIN l USING (shown) GROUP BY 1),
+g AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 0.5) / (sum(n) + 1) ELSE 0.0 END AS m FROM h),
+s1 AS (SELECT suffix, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad, any_value(m) AS m FROM h, g GROUP BY 1), {level('k1', 's1')},
+s2 AS (SELECT suffix, {shrunk} AS m FROM s1, k1),
+d1 AS (SELECT suffix, domain, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS bad, any_value(m) AS m FROM h JOIN s2 USING (suffix) GROUP BY 1, 2), {level('k2', 'd1')},
+d2 AS (SELECT domain, {shrunk} AS m FROM d1, k2),
+h1 AS (SELECT h.host, CAST(n AS DOUBLE) AS n, CAST(bad AS DOUBLE) AS bad, m FROM h JOIN d2 USING (domain)), {level('k3', 'h1')},
+h2 AS (SELECT host, bad + k * m + 1e-6 AS a, n - bad + k * (1 - m) + 1e-6 AS b FROM h1, k3),
+h3 AS (SELECT host, {u.lower_bound_sql('a', 'b')} AS bound FROM h2)
+SELECT page_id, host, path, {rules} AS rule, coalesce({actions}, CASE WHEN bound > {u.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, n AS host_labelled, bad AS host_bad
+FROM p JOIN h USING (host) JOIN h3 USING (host)"""
+
+
+SQL_op2_url_reputation = _reputation_sql()
+
+SQL_op3_decontaminate = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, w, CASE WHEN len(w) < 10 THEN len(w) ELSE 10 END AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+s AS (SELECT DISTINCT n FROM g),
+o AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, s WHERE len(w) >= n)),
+x AS (SELECT doc_id, i, n, item_id FROM o JOIN g USING (n, gram)),
+h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM x) GROUP BY 1),
+y AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM x) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN y USING (doc_id)"""
+
+
+def _secrets_sql() -> str:
+    s = secrets
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    found = " UNION ALL ".join(f"SELECT doc_id, {i} AS kind, regexp_extract_all(text, {quoted(p)}) AS m, string_split_regex(text, {quoted(p)}) AS p FROM documents WHERE regexp_matches(text, {quoted(p)})" for i, p in enumerate(s.KINDS.values()))
+    number = {k: i for i, k in enumerate(s.KINDS)}
+    ok = " AND ".join(f"(kind <> {number[k]} OR length({f'regexp_replace(m, {quoted("^" + before)}, {quoted("")})' if before else 'm'}) >= {least})" for k, (least, before) in s.LEAST.items())
+    near = ", ".join(f"max(CASE WHEN kind = {i} THEN 1 ELSE 0 END) OVER w AS has_{k}" for k, i in number.items())
+    name = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for k, i in number.items()) + " END"
+    joined = lambda test: f"coalesce(string_agg({name} || ':' || start || ':' || ends, ',' ORDER BY start, kind) FILTER ({test}), '')"
+    counts = ", ".join(f"count(*) FILTER (kind = {number[k]}) AS n_{k}" for k in s.BASE)
+    return f"""
+WITH f AS ({found}),
+e AS (SELECT doc_id, kind, unnest(m) AS m, unnest(p[1:len(m)]) AS p, generate_subscripts(m, 1) AS i FROM f),
+a AS (SELECT *, CAST(sum(length(p) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS ends FROM e),
+c AS (SELECT doc_id, kind, ends - length(m) AS start, ends FROM a WHERE {ok}),
+n AS (SELECT *, {near} FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN {s.SCOPE} PRECEDING AND {s.SCOPE} FOLLOWING)),
+k AS (SELECT doc_id, kind, start, ends FROM n WHERE kind < {len(s.BASE)}
+  OR kind = {number['weak_secret']} AND (has_access = 1 OR has_weak_id = 1 AND has_endpoint = 1)
+  OR kind = {number['weak_id']} AND (has_assign = 1 OR has_weak_secret = 1 AND has_endpoint = 1)
+  OR kind = {number['endpoint']} AND (has_access = 1 OR has_weak_id = 1) AND (has_assign = 1 OR has_weak_secret = 1))
+SELECT doc_id, {counts}, sha256({joined(f'kind < {len(s.BASE)}')}) AS base_sha256, {joined('kind IS NOT NULL')} AS spans
+FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id"""
+
+
+SQL_op5_secrets = _secrets_sql()
+
+SQL_op8_bagminhash = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS gram, count(*) AS n FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0) GROUP BY ALL),
+z AS (SELECT doc_id, sum(n) AS size FROM g GROUP BY 1),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS met FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM o JOIN z p ON p.doc_id = x JOIN z q ON q.doc_id = y WHERE met >= 0.8 * (p.size + q.size - met)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+c AS (SELECT a AS doc_id, min(b) AS class_id, count(*) AS n_class FROM r GROUP BY 1)
+SELECT doc_id, class_id, n_class FROM c"""
+
+_BITS = "list_aggregate(list_transform(string_split(sha1(encode(coalesce(html, ''))), ''), lambda c: right('000' || bin(instr('0123456789abcdef', c) - 1), 4)), 'string_agg', '')"
+_FIVE = "list_sum(list_transform(range(5), lambda j: CAST(substring(bits, 5 * i + j + 1, 1) AS INTEGER) * (16 >> j)))"
+SQL_op9_warc = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, {_BITS} AS bits FROM pages),
+q AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST({_FIVE} AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS largest FROM q)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = largest THEN NULL ELSE largest END AS refers_to FROM m"""
