@@ -10,7 +10,8 @@ have one, so the work per document follows the signature's size, not the weights
 Bands of the signature make candidates, exact multiset overlap decides, connected components of the links make
 classes. Texts of equal words are one node from the start. In a bucket all nodes are first compared with its
 least node; nodes of a bucket that these links leave in different classes are then compared with each
-other, so no link between candidates is lost, and a large class costs no more than its size.
+other, so no class that candidates' links make is torn. Large buckets are compared in blocks, where matrix products
+give all similarities and only links that join classes leave the task.
 
 Defined results: words are runs of ASCII letters (case ignored), digits and other characters beyond ASCII; a text of fewer words than a
 shingle, but not none, is one shingle; texts without words (null, empty) are alike to no other
@@ -20,8 +21,8 @@ rows are in one class; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from quern.plans.shared import dropped, prepare, stored
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 6: a pair at similarity 0.8 shares a band with probability 0.9999, one at 0.3 with 0.02.
 BANDS, ROWS = 32, 6
+#: Buckets up to SMALL nodes give pairs, larger ones are compared in blocks of BLOCK nodes.
+SMALL, BLOCK = 16, 256
 CACHE_ENTRIES = 300_000
 FULL = 0xFFFFFFFFFFFFFFFF
 EMPTY = np.uint64(FULL)
@@ -63,9 +66,8 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """64-bit hashes of a text's shingles, in order, with repeats."""
-    words = words_of(text)
+def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the shingles of a text's words, in order, with repeats."""
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
@@ -149,65 +151,134 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            sets, full = [], []
-            for text in batch.column(2).to_pylist():
-                got = shingles(text)
-                full.append(len(got) > 0)
-                if full[-1]:
-                    sets.append(np.unique(got, return_counts=True))
+            sets, nodes = [], []
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                nodes.append(hashlib.md5(b" ".join(words)).digest() if words else None)
+                if words:
+                    sets.append(np.unique(shingles(words), return_counts=True))
             keys = bands_of(signatures(sets)) if sets else np.zeros((0, BANDS), np.int64)
-            offsets = np.concatenate([[0], np.cumsum(np.array(full, dtype=np.int32) * BANDS)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1), pa.int64()))], names=["doc", "node", "bands"])
+            offsets = np.concatenate([[0], np.cumsum([BANDS * (x is not None) for x in nodes])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1), pa.int64()))], names=["doc", "node", "bands"])
 
-    return docs.select("doc", node_column(F.col("text")).alias("node"), "text").mapInArrow(run, "doc long, node binary, bands array<long>")
+    return docs.select("doc", "text").mapInArrow(run, "doc long, node binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose texts' multisets overlap enough; ``texts`` has a row for each node."""
+    """The ``pairs`` (a, b) whose texts' multisets overlap enough; ``texts`` (id, text) has a row for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "y"):
             last, x, keep = None, None, []
             for a, one, other in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
                 if a != last:
-                    last, x = a, shingles(one)
-                keep.append(overlap(x, shingles(other)) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+                    last, x = a, shingles(words_of(one))
+                keep.append(overlap(x, shingles(words_of(other))) >= similarity)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    one = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    other = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def linked(rows: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Links that join different classes (column root) within a block, or between two blocks, of a bucket.
+
+    All similarities of the block come from products of its 0/1 matrix of elements, where the n-th copy of a shingle is an element of its
+    own. Of links that join the same classes the first is enough.
+    """
+    ids, roots, block = (rows.column(c).to_numpy() for c in ("id", "root", "block"))
+    sizes, elements = [], []
+    for text in rows.column("text").to_pylist():
+        x, n = np.unique(shingles(words_of(text)), return_counts=True)
+        copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        elements.append(mix(np.repeat(x, n) + copy.astype(np.uint64) * GOLDEN))
+        sizes.append(len(copy))
+    size = np.array(sizes, np.float32)
+    _, column, df = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(ids)), sizes)
+    shared = df[column] > 1
+    row, column = row[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    column = np.cumsum(np.diff(column, prepend=column[:1]) > 0) if len(column) else column
+    both = np.zeros((len(ids), len(ids)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (first, first + 4096))
+        part = np.zeros((len(ids), 4096), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        both += part @ part.T
+    # the same division as in overlap, in double precision
+    alike = both.astype(np.float64) / (size[:, None].astype(np.float64) + size[None, :] - both) >= similarity
+    alike &= (roots[:, None] != roots[None, :]) & ((block[:, None] != block[None, :]) | (block.min() == block.max()))
+    group = {int(r): int(r) for r in roots}
+
+    def find(x: int) -> int:
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(alike)))):
+        x, y = find(int(roots[i])), find(int(roots[j]))
+        if x != y:
+            group[x] = y
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def _within(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between classes within large buckets (``key, id, root, n``), block by block."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        links = linked(rows, similarity)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    other = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    blocks = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    own = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # a block meets every block of its bucket once
+    meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meets = meets.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "root", "block")
+    return meets.join(texts, "id").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One text for each node of ``pairs``."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return docs.select(node_column(F.col("text")).alias("node"), "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, text`` of the ``wanted`` nodes: the text of a row with the node's least id and its words."""
+    # null ids are told from 0 by their flag; rows that share an id with other texts are told by their words
+    key = [F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("none")]
+    places = nodes.join(wanted, "id", "left_semi").select("id", "node", *key)
+    found = docs.select(*key, "text").join(places, ["doc", "none"]).where(node_column(F.col("text")) == F.col("node"))
+    return found.groupBy("id").agg(F.min("text").alias("text"))
 
 
 def _classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``doc, node`` of every row, and ``node, doc, n, root`` of every node: its least id, its rows, its class's least node."""
+    """``doc, node`` of every row, and ``node, doc, n, root`` of every node: its least id, its rows, its class."""
     prepare(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     own = stored(signed(docs), "signed")
-    nodes = own.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"))
-    keyed = stored(own.where("node IS NOT NULL").select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key")), "bands")
-    least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("key", "a")
-    pairs = stored(keyed.join(least, "key").where("node != a").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    texts = stored(_texts(docs, pairs), "texts")
+    grouped = own.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    nodes = stored(grouped.select(F.monotonically_increasing_id().alias("id"), "*"), "nodes")
+    keyed = nodes.select("id", F.explode("bands").alias("key"))
+    least = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("n")).where("a != z").drop("z")
+    live = stored(keyed.join(least, "key"), "buckets")
+    texts = stored(_texts(docs, nodes, live.select("id").distinct()), "texts")
+    pairs = stored(live.where("id != a").select("a", F.col("id").alias("b")).distinct(), "pairs")
     links = stored(verified(pairs, texts, similarity), "links")
     roots = components(links)
     # what the stars leave apart within a bucket
-    placed = keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = live.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
     apart = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
-    rest = stored(placed.join(apart, "key", "left_semi"), "rest")
-    left, right = rest.select("key", F.col("node").alias("a"), F.col("root").alias("r")), rest.select("key", F.col("node").alias("b"), F.col("root").alias("s"))
+    rest = stored(placed.join(apart, "key"), "rest")
+    small = rest.where(F.col("n") <= SMALL)
+    left, right = small.select("key", F.col("id").alias("a"), F.col("root").alias("r")), small.select("key", F.col("id").alias("b"), F.col("root").alias("s"))
     across = left.join(right, "key").where("r < s").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = across.join(pairs, ["a", "b"], "left_anti")
-    more = stored(links.unionByName(verified(across, texts, similarity)), "links")
+    across = verified(across.join(pairs, ["a", "b"], "left_anti"), texts, similarity)
+    more = stored(links.unionByName(across).unionByName(_within(rest.where(F.col("n") > SMALL), texts, similarity)), "links")
     roots = components(more)
-    dropped(texts, links, rest, keyed, pairs, more)
-    return own.select("doc", "node"), stored(nodes.join(roots, "node", "left").select("node", "doc", "n", F.coalesce("root", "node").alias("root")), "nodes")
+    out = stored(nodes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("node", "doc", "n", F.coalesce("root", "id").alias("root")), "classes")
+    dropped(texts, links, rest, live, pairs, more, nodes)
+    return own.select("doc", "node"), out
 
 
 def classes(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

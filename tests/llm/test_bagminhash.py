@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import bagminhash as b
@@ -58,7 +59,7 @@ def test_signature_is_unbiased():
 
 
 def test_overlap_counts_copies():
-    x, y = b.shingles("a b c d e " * 10), b.shingles("a b c d e " * 5)
+    x, y = (b.shingles(words("a b c d e " * n)) for n in (10, 5))
     assert b.overlap(x, y) == pytest.approx(21 / 46)
 
 
@@ -79,7 +80,38 @@ def test_odd_rows(odd_docs):
             assert (c, n) == (full[d] if words(by[d]) else (d, 1))
 
 
-def test_chains_and_buckets(spark):
+def test_blocks_find_links_that_join():
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for _ in range(rnd.randrange(0, 6)):
+            t[rnd.randrange(len(t))] = f"x{rnd.random()}"
+        texts.append(" ".join(t * rnd.choice([1, 1, 2])))
+    roots = [i // 2 for i in range(60)]
+    for block in ([0] * 60, [i % 2 for i in range(60)]):
+        got_ = b.linked(pa.table({"id": list(range(60)), "root": roots, "block": block, "text": texts}), 0.8)
+        one, two = list(range(30)), list(range(30))
+
+        def merge(group, i, j):
+            x, y = group[roots[i]], group[roots[j]]
+            return [y if g == x else g for g in group]
+
+        for i, j in got_:
+            one = merge(one, i, j)
+        bags = [bag(t) for t in texts]
+        for i in range(60):
+            for j in range(i):
+                both = sum((bags[i] & bags[j]).values())
+                if both >= 0.8 * (sum(bags[i].values()) + sum(bags[j].values()) - both) and (block[i] != block[j] or len(set(block)) == 1):
+                    two = merge(two, i, j)
+        sets = lambda g: {frozenset(i for i, x in enumerate(g) if x == y) for y in g}
+        assert sets(one) == sets(two)
+        assert len(got_) == 30 - len(set(one))
+
+
+def test_chains_and_buckets(spark, monkeypatch):
     """A chain in which only neighbours are alike is one class, whatever the buckets' first members are."""
     rnd = random.Random(9)
     vocab = [f"w{i}" for i in range(5000)]
@@ -92,4 +124,7 @@ def test_chains_and_buckets(spark):
     rows += [(100 + i, rows[3][1].upper()) for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS node", "1 AS key", "2 AS root")
     assert got(df) == brute(rows)
+    monkeypatch.setattr(b, "SMALL", 2)
+    monkeypatch.setattr(b, "BLOCK", 3)
+    assert got(df) == brute(rows)
     assert got(df.limit(0)) == []
