@@ -139,8 +139,13 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def node_of(words: list[bytes]) -> bytes | None:
+    """128 bits of a text's words: equal for texts of equal words; None without words."""
+    return hashlib.md5(b" ".join(words)).digest() if words else None
+
+
 def node_column(text):
-    """128 bits of a text's words: equal for texts of equal words; null without words."""
+    """``node_of`` the words of a column of texts."""
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.trim(F.regexp_replace(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     return F.when(words != "", F.unhex(F.md5(words)))
@@ -154,7 +159,7 @@ def signed(docs: DataFrame) -> DataFrame:
             sets, nodes = [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
-                nodes.append(hashlib.md5(b" ".join(words)).digest() if words else None)
+                nodes.append(node_of(words))
                 if words:
                     sets.append(np.unique(shingles(words), return_counts=True))
             keys = bands_of(signatures(sets)) if sets else np.zeros((0, BANDS), np.int64)
@@ -248,7 +253,13 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     # null ids are told from 0 by their flag; rows that share an id with other texts are told by their words
     key = [F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("none")]
     places = nodes.join(wanted, "id", "left_semi").select("id", "node", *key)
-    found = docs.select(*key, "text").join(places, ["doc", "none"]).where(node_column(F.col("text")) == F.col("node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            keep = pa.array([node_of(words_of(t)) == n for n, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], names=["id", "text"])
+
+    found = docs.select(*key, "text").join(places, ["doc", "none"]).select("id", "node", "text").mapInArrow(run, "id long, text string")
     return found.groupBy("id").agg(F.min("text").alias("text"))
 
 
