@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 REPO = str(Path(__file__).resolve().parents[2])
@@ -70,3 +71,13 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a path through Hadoop's file system of its scheme."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a URI that Spark understands, and the path in it, for Python workers."""
+    for hadoop, arrow in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        if path.startswith(hadoop):
+            path = arrow + path.removeprefix(hadoop)
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)

@@ -7,14 +7,13 @@ import time
 import zipfile
 import zlib
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import oracle as O
 from quern.functions import text as T
 from quern.operators import cache, index, present, search
-from quern.plans.shared import new_path
+from quern.plans.shared import filesystem, new_path
 from quern.sources import files
 
 QUERY, PHRASE, REPEATED, STOPPED = "eriner thanea ing", "attion thanedble anea", "ing thth ing", "attion the thanedble"
@@ -293,7 +292,7 @@ SAMPLES = {"b.txt": b"Plain Text", "a.html": b"<p>Some <b>HTML</b></p>", "c.pdf"
 
 def sample_folder(spark: SparkSession) -> str:
     path = new_path(spark, "samples")
-    system, folder = fs.FileSystem.from_uri(path)
+    system, folder = filesystem(path)
     system.create_dir(folder, recursive=True)
     for name, data in SAMPLES.items():
         with system.open_output_stream(f"{folder}/{name}", compression=None) as f:
