@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quern.plans.arrow import slices
-from quern.plans.shared import new_path, prepare
+from quern.plans.shared import filesystem, new_path, prepare
 
 #: Runs of characters that a worker keeps, some 200 bytes each; more only cost time.
 CACHE_ENTRIES = 1_000_000
@@ -101,11 +101,6 @@ def encoder(spec: str) -> Encoder:
     return _encoders[key]
 
 
-def _open(path: str):
-    system, name = fs.FileSystem.from_uri(path)
-    return system, name
-
-
 def write(df: DataFrame, tokenizer: str, end_id: int, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Write the ids of every whole text, each followed by ``end_id``; returns the folder.
 
@@ -117,7 +112,7 @@ def write(df: DataFrame, tokenizer: str, end_id: int, path: str | None = None, i
     path = path or new_path(spark, "tokens")
     with open(tokenizer, encoding="utf-8") as f:  # on the driver; a vocabulary is a few MB
         spec = spark.sparkContext.broadcast(f.read())
-    system, folder = _open(path)
+    system, folder = filesystem(path)
     system.create_dir(folder, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +120,7 @@ def write(df: DataFrame, tokenizer: str, end_id: int, path: str | None = None, i
         end, task = np.array([end_id], dtype=own.dtype).tobytes(), TaskContext.get()
         for batch in slices(batches, text_col):
             if files is None:
-                system, folder = _open(path)
+                system, folder = filesystem(path)
                 system.create_dir(folder, recursive=True)
                 name = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}"
                 files = system.open_output_stream(f"{name}.bin")
@@ -158,7 +153,7 @@ def write(df: DataFrame, tokenizer: str, end_id: int, path: str | None = None, i
 
 def _mapped(path: str, dtype: str) -> np.ndarray:
     """The file as an array: by memory map where it lies in a mounted folder, else read."""
-    system, name = _open(path)
+    system, name = filesystem(path)
     if system.get_file_info(name).size == 0:
         return np.zeros(0, dtype=dtype)
     if isinstance(system, fs.LocalFileSystem):
@@ -170,7 +165,7 @@ def _mapped(path: str, dtype: str) -> np.ndarray:
 def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` and, if asked, ``ids`` (array), of every document in the files."""
     prepare(spark)
-    system, folder = _open(path)
+    system, folder = filesystem(path)
     with system.open_input_file(f"{folder}/manifest.json") as f:
         shards = json.loads(f.read())["shards"]
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * ids

@@ -25,13 +25,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.plans.arrow import slices
-from quern.plans.shared import new_path, prepare
+from quern.plans.shared import filesystem, new_path, prepare
 
 #: Bytes of a record's block, of a transfer chunk and, about, of an archive file.
 SEGMENT, CHUNK, FILE = 32 << 10, 8 << 10, 256 << 20
@@ -140,7 +139,7 @@ def write(pages: DataFrame, path: str | None = None, least: int = 0, segment: in
     path = path or new_path(spark, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = fs.FileSystem.from_uri(path)
+        system, folder = filesystem(path)
         system.create_dir(folder, recursive=True)
         task, out, names, size = TaskContext.get(), None, [], 0
         for batch in slices(batches, "payload"):
@@ -178,7 +177,7 @@ def read_segments(spark: SparkSession, path: str, names: list[str], split: bool
     prepare(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = fs.FileSystem.from_uri(path)
+        system, folder = filesystem(path)
         schema = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("length", pa.int64()), ("block", pa.binary())])
         for batch in batches:
             for at in batch.column(0).to_pylist():
