@@ -9,7 +9,7 @@ runs. Matching statistics then stream along the block: at a sampled position the
 neighbouring suffix is measured, from there on it shrinks by one with each step until the next sample. Matches of ``LENGTH`` or more
 are marked and mapped back to all texts that hold the segment.
 
-A key that more than ``HOT`` segments share (a common line whose surroundings differ) is not gathered as
+A key that more than ``HOT`` different segments share (a common line whose surroundings differ) is not gathered as
 segments: its strings are counted by hash one by one, and only those counted twice go to an index, each
 keyed by its own hash. So no key gathers an unbounded block, and no string is left out.
 
@@ -37,8 +37,10 @@ from quern.plans.arrow import slices
 from quern.plans.shared import dropped, new_path, prepare, remove, stored
 
 LENGTH, GRAM = 200, 32
-#: Strings of one segment at most, segments of one key before its strings are counted one by one, symbols of one index.
-STRINGS, HOT, BLOCK = 256, 2_000, 1_500_000
+#: Strings of one segment at most, different segments of a key before its strings are counted one by one, symbols of one index (about HOT segments).
+STRINGS, HOT, BLOCK = 256, 4_000, 1_500_000
+#: Bytes hashed at once: their arrays fit a core's cache.
+AT_ONCE = 96 << 10
 #: Hashes that can be numbered in the low bits of a hash.
 PLACES = 1 << 24
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -208,17 +210,22 @@ def statistics(t: np.ndarray) -> np.ndarray:
 
 
 def block_marks(texts: list[bytes], copies: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each text of a block which of its strings of ``length`` occur more than once in it; copies: 1, or 2 for more."""
+    """For each text of a block which of its strings of ``length`` start more than once in the corpus.
+
+    A text stands in the index once. If it stands for several copies, each position matches the other copies as far as the text goes.
+    """
     parts, starts, size = [], [], 0
-    for text, n in zip(texts, copies):
+    for text in texts:
         starts.append(size)
-        one = np.frombuffer(text, np.uint8).astype(np.int16) + 1
-        for _ in range(n):
-            parts += [one, np.zeros(1, np.int16)]
-            size += len(one) + 1
-    long = statistics(np.concatenate(parts)) >= length
-    # a separator never is within a string: a segment has its last string's end in it
-    return [long[a : a + max(0, len(x) - length + 1)] for a, x in zip(starts, texts)]
+        parts += [np.frombuffer(text, np.uint8).astype(np.int16) + 1, np.zeros(1, np.int16)]
+        size += len(text) + 1
+    match = statistics(np.concatenate(parts))
+    for at, text, n in zip(starts, texts, copies):
+        if n > 1:
+            own = match[at : at + len(text)]
+            np.maximum(own, np.arange(len(text), 0, -1), out=own)
+    # strings end within their text, so matches of their length hold no separator
+    return [match[a : a + max(0, len(x) - length + 1)] >= length for a, x in zip(starts, texts)]
 
 
 # ---- passes over the corpus -------------------------------------------------------------------
@@ -257,55 +264,61 @@ def _with_beside(batches: Iterator[pa.RecordBatch], path: str, columns: list[str
 
 
 def _keys(texts: DataFrame) -> DataFrame:
-    """``key, id, start, strings, inside`` of every segment."""
+    """``key, sign, id, start, strings, copies, inside`` of every segment; sign is a hash of its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            data, at = flat(batch.column(1))
+        for batch in slices(batches, "text", AT_ONCE):
+            data, at = flat(batch.column(2))
             text, start, strings, key, inside = segments(data, at)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(batch.column(0).to_numpy()[text]), pa.array(start.astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(inside)], names=["key", "id", "start", "strings", "inside"])
-
-    return texts.select("id", "text").mapInArrow(run, "key long, id long, start int, strings int, inside boolean")
+            whole, first = memoryview(data.tobytes()), at[text] + start
+            sign = np.array([xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(first.tolist(), (first + strings + LENGTH - 1).tolist())], np.uint64)
+            ids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(sign.view(np.int64)), pa.array(ids[text]), pa.array(start.astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(copies[text]), pa.array(inside)],
+                names=["key", "sign", "id", "start", "strings", "copies", "inside"],
+            )
 
-
-PIECES = "key long, sign long, id long, start int, copies int, piece binary"
+    return texts.select("id", "copies", "text").mapInArrow(run, "key long, sign long, id long, start int, strings int, copies int, inside boolean")
 
 
 def _pieces(texts: DataFrame, path: str) -> DataFrame:
-    """Segments (rows beside with ``strings`` > 0) with their bytes: once for each slice, elsewhere null."""
+    """``key, sign, copies, piece``: bytes and number of the segments that lie beside, each once for a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in _with_beside(batches, path, ["id", "start", "strings", "key"]):
-            rows, seen = [], set()
-            ids, copies, column = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+        for batch, found in _with_beside(batches, path, ["id", "start", "strings", "key", "sign"]):
+            seen: dict[tuple[int, int], list] = {}
+            copies, column = batch.column(1).to_pylist(), batch.column(2)
             for i, own in found:
                 text = column[i].as_buffer().to_pybytes()
-                for start, strings, key in zip(own["start"].tolist(), own["strings"].tolist(), own["key"].tolist()):
-                    piece = text[start : start + strings + LENGTH - 1]
-                    sign = xxhash.xxh3_64_intdigest(piece) - (1 << 63)
-                    first = (key, sign) not in seen
-                    seen.add((key, sign))
-                    rows.append((key, sign, ids[i], start, min(2, copies[i]), piece if first else None))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["key", "sign", "id", "start", "copies", "piece"])
+                for start, strings, *name in zip(*(own[c].tolist() for c in ("start", "strings", "key", "sign"))):
+                    held = seen.get(name := tuple(name))
+                    if held is None:
+                        seen[name] = [copies[i], text[start : start + strings + LENGTH - 1]]
+                    else:
+                        held[0] += copies[i]
+            if seen:
+                keys, signs = zip(*seen)
+                counts, pieces = zip(*seen.values())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(signs, pa.int64()), pa.array(counts, pa.int64()), pa.array(pieces, pa.binary())], names=["key", "sign", "copies", "piece"])
 
-    return texts.select("id", "copies", "text").mapInArrow(run, PIECES)
+    return texts.select("id", "copies", "text").mapInArrow(run, "key long, sign long, copies long, piece binary")
 
 
 def _strings(texts: DataFrame, path: str) -> DataFrame:
-    """``key, id, start, copies`` of every single string of the segments beside: key is its own hash."""
+    """``key, sign, id, start, copies`` of every single string of the segments beside, by its own hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in _with_beside(batches, path, ["id", "start", "strings"]):
             ids, copies, column = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
             for i, own in found:
-                h = hashes(np.frombuffer(column[i].as_buffer(), np.uint8), LENGTH)
-                n = own["strings"].astype(np.int64)
+                text = column[i].as_buffer()
+                h, n = hashes(np.frombuffer(text, np.uint8), LENGTH), own["strings"].astype(np.int64)
                 start = np.repeat(own["start"].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                size = len(start)
-                yield pa.RecordBatch.from_arrays([pa.array(h[start].view(np.int64)), pa.array(np.full(size, ids[i])), pa.array(start.astype(np.int32)), pa.array(np.full(size, min(2, copies[i]), np.int32))], names=["key", "id", "start", "copies"])
+                whole = memoryview(text)
+                sign = np.array([xxhash.xxh3_64_intdigest(whole[a : a + LENGTH]) for a in start.tolist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[start].view(np.int64)), pa.array(sign.view(np.int64)), pa.array(np.full(len(start), ids[i])), pa.array(start.astype(np.int32)), pa.array(np.full(len(start), copies[i], np.int32))], names=["key", "sign", "id", "start", "copies"])
 
-    return texts.select("id", "copies", "text").mapInArrow(run, "key long, id long, start int, copies int")
+    return texts.select("id", "copies", "text").mapInArrow(run, "key long, sign long, id long, start int, copies int")
 
 
 def _indexed(pieces: DataFrame) -> DataFrame:
@@ -313,7 +326,7 @@ def _indexed(pieces: DataFrame) -> DataFrame:
     distinct = pieces.groupBy("key", "sign").agg(F.sum("copies").alias("copies"), F.max("piece").alias("piece"))
 
     def marked(rows: list[tuple]) -> pa.RecordBatch:
-        found = block_marks([r[3] for r in rows], [min(2, r[2]) for r in rows])
+        found = block_marks([r[3] for r in rows], [r[2] for r in rows])
         keys, signs, ranges = [], [], []
         for (key, sign, _, _), marks in zip(rows, found):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], marks.view(np.int8), [0]])))
@@ -331,16 +344,16 @@ def _indexed(pieces: DataFrame) -> DataFrame:
                     yield marked(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += min(2, row[2]) * (len(row[3]) + 1)
+                size += len(row[3]) + 1
         if rows:
             yield marked(rows)
 
     return distinct.repartition("key").sortWithinPartitions("key").select("key", "sign", "copies", "piece").mapInArrow(run, "key long, sign long, ranges array<int>")
 
 
-def _spans(pieces: DataFrame) -> DataFrame:
-    """``id, start, end``: byte ranges of texts that are covered."""
-    hits = pieces.select("key", "sign", "id", F.col("start").alias("at")).join(_indexed(pieces), ["key", "sign"])
+def _spans(places: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``id, start, end``: byte ranges that are covered, of texts that have a piece at ``places`` (key, sign, id, start)."""
+    hits = places.select("key", "sign", "id", F.col("start").alias("at")).join(_indexed(pieces), ["key", "sign"])
     pairs = hits.select("id", "at", F.posexplode("ranges").alias("n", "a"), "ranges").where("n % 2 = 0")
     return pairs.select("id", (F.col("at") + F.col("a")).alias("start"), (F.col("at") + F.get("ranges", F.col("n") + 1) + LENGTH - 1).alias("end"))
 
@@ -377,22 +390,25 @@ def removed(df: DataFrame, text_col: str = "text", hot: int = HOT) -> tuple[Data
     joined = rows.select(F.col("__node").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("node").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     texts = stored(joined.select(F.monotonically_increasing_id().alias("id"), "node", F.least("copies", F.lit(2)).cast("int").alias("copies"), "text"), "texts")
     keys = stored(_keys(texts), "keys")
-    counted = keys.join(texts.where("copies > 1").select("id", "copies"), "id", "left").groupBy("key").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"), F.count(F.lit(1)).alias("m"), F.max("inside").alias("inside")).where("n > 1 OR inside").select("key", (F.col("m") > hot).alias("hot"))
-    again = stored(keys.drop("inside").join(counted, "key"), "again")
+    by_sign = keys.groupBy("key", "sign").agg(F.sum("copies").alias("n"), F.max("inside").alias("inside"))
+    counted = by_sign.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("signs"), F.max("inside").alias("inside")).where("n > 1 OR inside").select("key", (F.col("signs") > hot).alias("hot"))
+    again = stored(keys.select("key", "sign", "id", "start", "strings").join(counted, "key"), "again")
     dropped(keys)
-    paths = [_put_beside(again.where("NOT hot").select("id", "start", "strings", "key"), "positions")]
-    pieces = stored(_pieces(texts, paths[0]), "pieces")
-    spans = _spans(pieces)
+    places = again.where("NOT hot")
+    paths = [_put_beside(places.select("id", "start", "strings", "key", "sign"), "positions")]
+    pieces = [stored(_pieces(texts, paths[0]), "pieces")]
+    spans = _spans(places, pieces[0])
     common_ = again.where("hot").select("id", "start", "strings")
     if common_.take(1):
         paths.append(_put_beside(common_, "common"))
         single = stored(_strings(texts, paths[-1]), "strings")
-        twice = single.groupBy("key").agg(F.sum("copies").alias("n")).where("n > 1").select("key")
-        paths.append(_put_beside(single.join(twice, "key").select("id", "start", F.lit(1).alias("strings"), "key"), "positions"))
-        more = stored(_pieces(texts, paths[-1]), "pieces")
-        spans = spans.unionByName(_spans(more))
+        twice = single.groupBy("key", "sign").agg(F.sum("copies").alias("n")).where("n > 1").select("key", "sign")
+        places = stored(single.join(twice, ["key", "sign"]).select("key", "sign", "id", "start", F.lit(1).alias("strings")), "places")
+        paths.append(_put_beside(places.select("id", "start", "strings", "key", "sign"), "positions"))
+        pieces.append(stored(_pieces(texts, paths[-1]), "pieces"))
+        spans = spans.unionByName(_spans(places, pieces[-1]))
     beside = _put_beside(spans, "spans")
-    dropped(again, pieces)
+    dropped(again, *pieces)
     for path in paths:
         remove(spark, path)
     return rows, _kept(texts, beside)
