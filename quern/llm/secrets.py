@@ -46,7 +46,8 @@ KINDS = {
     "hex": "[0-9a-f]{16,}",  # a run is matched whole, so shorter runs are those that fail
     "weak_secret": _named(["pwd", "pass", "auth", "private_?key", "credential"]) + r"[^\x00-\x20\"'<>,;]{4,}|[A-Za-z0-9+/]{40}",
     "weak_id": _named(["user", "username", "login", "account", "client_?id", "access_?key_?id"]) + r"[A-Za-z0-9_.@-]{3,}",
-    "endpoint": r"[a-z][a-z0-9+.-]*://[^\x00-\x20\"'<>]+|[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.]amazonaws[.]com",
+    # lengths are bounded where a long run could be tried from each of its characters
+    "endpoint": r"[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20\"'<>]+|[A-Za-z0-9-]{1,63}(?:[.][A-Za-z0-9-]{1,63}){0,6}[.]amazonaws[.]com",
 }
 BASE = ("assign", "access", "hex")
 #: Kinds whose matches may still fail: the least length, and the pattern of what comes before the part that counts.

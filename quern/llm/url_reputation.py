@@ -23,7 +23,7 @@ from quern.plans.shared import stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: The document that a page shows: the number at the end of its path.
-NUMBER = r"/([0-9]{1,18})(?:\.[A-Za-z0-9]+)?/?$"
+NUMBER = r"/([0-9]{1,18})(?:\.[A-Za-z0-9]{1,16})?/?$"
 #: Suffixes of two labels; a parameter, not a full list of public suffixes.
 DOUBLE = ("co.uk", "com.au", "co.jp", "com.br")
 #: z of the one-sided 95 % bound, and the bad rate above which a host is blocked.
@@ -43,16 +43,16 @@ def suffix_sql(host: str) -> str:
     """Last label of a host without user and port, or last two where these are a known suffix."""
     bare = f"regexp_replace(regexp_replace({host}, '^.*@', ''), ':[0-9]*$', '')"
     known = ", ".join(f"'{x}'" for x in DOUBLE)
-    two = f"regexp_extract({bare}, '([^.]+[.][^.]+)$', 1)"
-    return f"CASE WHEN {two} IN ({known}) THEN {two} ELSE regexp_extract({bare}, '([^.]*)$', 1) END"
+    two = f"regexp_extract({bare}, '([^.]{{1,63}}[.][^.]{{1,63}})$', 1)"
+    return f"CASE WHEN {two} IN ({known}) THEN {two} ELSE regexp_extract({bare}, '([^.]{{0,63}})$', 1) END"
 
 
 def domain_sql(host: str) -> str:
     """The suffix and the label before it; an address in numbers is its own domain."""
     bare = f"regexp_replace(regexp_replace({host}, '^.*@', ''), ':[0-9]*$', '')"
     known = ", ".join(f"'{x}'" for x in DOUBLE)
-    two = f"regexp_extract({bare}, '([^.]+[.][^.]+)$', 1)"
-    three = f"regexp_extract({bare}, '([^.]+[.][^.]+[.][^.]+)$', 1)"
+    two = f"regexp_extract({bare}, '([^.]{{1,63}}[.][^.]{{1,63}})$', 1)"
+    three = f"regexp_extract({bare}, '([^.]{{1,63}}[.][^.]{{1,63}}[.][^.]{{1,63}})$', 1)"
     return f"CASE WHEN regexp_extract({bare}, '^([0-9.]+)$', 1) <> '' THEN {bare} WHEN {two} IN ({known}) AND {three} <> '' THEN {three} WHEN {two} <> '' THEN {two} ELSE {bare} END"
 
 

@@ -41,6 +41,12 @@ def test_bad_hosts_are_blocked(spark):
     assert got.count() == len(urls)
 
 
+def test_long_urls(spark):
+    urls = ["http://" + "a" * 200_000, "http://" + "a." * 100_000 + "org/es/1", "x" * 300_000, "http://h.org/" + "9" * 300_000]
+    got = u.filter_urls(pages(spark, urls), spark.createDataFrame([], NONE), RULES).collect()
+    assert {r.page_id: r.rule for r in got} == {0: None, 1: "org/es/", 2: None, 3: None}
+
+
 def test_posterior_bound(spark):
     rng = np.random.default_rng(2)
     for a, b in ((0.7, 3.0), (2.0, 2.0), (30.0, 10.0), (400.0, 900.0)):
