@@ -130,39 +130,42 @@ def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
 # ---- the index ------------------------------------------------------------------------------
 
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffixes of ``t`` (small integers) in order, by doubling the length that ranks cover; only ties are sorted again."""
-    n = len(t)
-    k, key = 7, np.zeros(n, np.int64)
-    for i in range(k):
-        key[: n - i] |= (t[i:].astype(np.int64) + 1) << (9 * (k - 1 - i))
+def packed(t: np.ndarray) -> np.ndarray:
+    """Seven symbols of ``t`` (below 511) from each place on in one integer, which orders like them; past the end they are least."""
+    out = np.zeros(len(t), np.int64)
+    for i in range(7):
+        out[: len(t) - i] |= (t[i:].astype(np.int64) + 1) << (9 * (6 - i))
+    return out
+
+
+def suffix_array(key: np.ndarray) -> np.ndarray:
+    """Suffixes of a text, given ``packed``, in order: by doubling the length that ranks cover; only ties are sorted again."""
+    n, k = len(key), 7
     sa = np.argsort(key)
-    head = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    while True:
+    ordered = key[sa]
+    head = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), 0))
+    places = np.flatnonzero(~(head & np.append(head[1:], True)))
+    while len(places):
         # places of the suffix array whose suffix is not alone in its group
-        tied = ~(head & np.append(head[1:], True))
-        places = np.flatnonzero(tied)
-        if not len(places):
-            return sa
         own = sa[places]
-        after = np.zeros(len(own), np.int64)
-        inside = own + k < n
-        after[inside] = rank[own[inside] + k] + 1
-        key = rank[own] * (n + 1) + after
-        order = np.argsort(key)
-        own, key = own[order], key[order]
+        after = own + k
+        after = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        pair = rank[own].astype(np.int64) << 32 | after
+        order = np.argsort(pair)
+        own, pair = own[order], pair[order]
         sa[places] = own
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        head[places] = new
+        new = np.concatenate([[True], pair[1:] != pair[:-1]])
         rank[own] = np.maximum.accumulate(np.where(new, places, 0))
-        k *= 2
+        # a group's places lie together: alone is who begins a group and is followed by another's beginning
+        places, k = places[~(new & np.append(new[1:], True))], k * 2
+    return sa
 
 
-def run_index(t: np.ndarray) -> dict[str, np.ndarray]:
-    """The run-compressed BWT of ``t``: symbol and first place of each run, and the suffix array at both ends of runs and next to them."""
-    sa = suffix_array(t)
+def run_index(t: np.ndarray, key: np.ndarray) -> dict[str, np.ndarray]:
+    """The run-compressed BWT of ``t`` (``key``: packed): symbol and first place of each run, and the suffix array at both ends of runs and next to them."""
+    sa = suffix_array(key)
     bwt = t[sa - 1]  # the first suffix's predecessor is the last symbol
     first = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
     last = np.append(first[1:], len(t)) - 1
@@ -173,30 +176,32 @@ def run_index(t: np.ndarray) -> dict[str, np.ndarray]:
     return {"symbol": bwt[first], "first": first, "first_sa": sa[first], "before_sa": sa[first - 1], "last_sa": sa[last], "after_sa": sa[(last + 1) % len(t)]}
 
 
-def common(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the common prefixes of suffixes a and b of ``t``."""
-    n, out = len(t), np.zeros(len(a), np.int64)
-    padded = np.concatenate([t.astype(np.uint16) + 1, np.zeros(64, np.uint16)])
-    live, step = np.flatnonzero(a != b), 1
+def common(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of suffixes a and b of a text, given ``packed``: seven symbols at a time."""
+    n, out = len(key), np.zeros(len(a), np.int64)
+    live = np.flatnonzero(a != b)
+    a, b = a[live], b[live]
     while len(live):
-        x, y = a[live] + out[live], b[live] + out[live]
-        inside = np.maximum(x, y) < n
-        live, x, y = live[inside], x[inside], y[inside]
-        span = np.arange(step)
-        same = padded[np.minimum(x[:, None] + span, n)] == padded[np.minimum(y[:, None] + span, n)]
-        same &= np.maximum(x, y)[:, None] + span < n
-        run = np.where(same.all(axis=1), step, same.argmin(axis=1))
-        out[live] += run
-        live, step = live[run == step], min(32, step * 4)
+        differ = key[a] ^ key[b]
+        more = differ == 0
+        ended = live[~more]
+        differ = differ[~more]
+        out[ended] += sum((differ < 1 << (63 - 9 * i)).astype(np.int64) for i in range(1, 7))
+        live, a, b = live[more], a[more] + 7, b[more] + 7
+        out[live] += 7
+        # packed symbols past the end differ from any in the text, so equal ones lie within it
+        inside = np.maximum(a, b) < n
+        live, a, b = live[inside], a[inside], b[inside]
     return out
 
 
 def statistics(t: np.ndarray) -> np.ndarray:
     """For each position of ``t`` the length of the longest string that starts there and also starts elsewhere in ``t``."""
-    index = run_index(t)
+    key = packed(t)
+    index = run_index(t, key)
     n, out = len(t), np.zeros(len(t), np.int64)
     for own, other in (("first_sa", "before_sa"), ("last_sa", "after_sa")):
-        place, match = index[own], common(t, index[own], index[other])
+        place, match = index[own], common(key, index[own], index[other])
         if own == "first_sa":
             match[index["first"] == 0] = 0  # nothing comes before the first suffix
         else:
