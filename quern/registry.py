@@ -17,6 +17,7 @@ from quern.plans.shared import filesystem, new_path
 from quern.sources import files
 
 QUERY, PHRASE, REPEATED, STOPPED = "eriner thanea ing", "attion thanedble anea", "ing thth ing", "attion the thanedble"
+# The queries that are timed.
 BENCH = ["text", "search index", "keyword document", "engine", "data structure", "pride", "love story"]
 CAPACITY = 25
 CJK = ["搜索引擎", "测试HTML文档", "没有", "café É", "ひらがな", "ＡＢＣ", "\U00020000\U00020001", "The Quick_Fox's", "don’t x—y", "q" * 200, "é" * 100, ""]
