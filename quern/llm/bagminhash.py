@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.decontaminate import words_of
+from quern.plans import memo
 from quern.plans.arrow import slices
 from quern.plans.components import components
 from quern.plans.shared import dropped, prepare, stored
@@ -155,6 +156,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """``doc, node, bands`` of ``docs`` (columns doc and text); without words node is null and bands are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo.only("bagminhash", _hashes.clear)
         for batch in slices(batches, "text", 1 << 20):
             sets, nodes = [], []
             for text in batch.column(1).to_pylist():
@@ -173,6 +175,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     """The ``pairs`` (a, b) whose texts' multisets overlap enough; ``texts`` (id, text) has a row for each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo.only("bagminhash", _hashes.clear)
         for batch in slices(batches, "y"):
             last, x, keep = None, None, []
             for a, one, other in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
@@ -237,6 +240,7 @@ def _within(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links between classes within large buckets (``key, id, root, n``), block by block."""
 
     def run(rows: pa.Table) -> pa.Table:
+        memo.only("bagminhash", _hashes.clear)
         links = linked(rows, similarity)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 

@@ -22,6 +22,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from quern.plans import memo
 from quern.plans.arrow import slices
 from quern.plans.shared import prepare
 
@@ -140,6 +141,7 @@ def _over(df: DataFrame, path: str, pattern: str, id_col: str, in_col: str, outs
     names = list(outs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo.only("byte_bpe", _codecs.clear)
         own = codec(data.value, pattern)
         for batch in slices(batches, in_col):
             columns = [batch.column(0)]

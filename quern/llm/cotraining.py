@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.plans import memo
 from quern.plans.arrow import slices
 from quern.plans.shared import dropped, prepare, stored
 
@@ -106,13 +107,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, screen: bool, ste
     """Logistic regression with a ridge penalty, by Adam over all rows at each step; ``screen``: only on features that tell the classes apart."""
     model = Logistic(np.zeros(1 << bits))
     sizes = np.array([len(r) for r in rows])
-    flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
+    flat = np.concatenate(rows)
     n1 = labels.sum()
-    df, df1 = np.bincount(flat, minlength=1 << bits), np.bincount(flat, labels[owner], 1 << bits)
+    df, df1 = np.bincount(flat, minlength=1 << bits), np.bincount(flat[np.repeat(labels > 0, sizes)], minlength=1 << bits)
     share, n0 = df / len(rows), len(rows) - n1
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
     chosen = (np.abs(df1 / n1 - (df - df1) / n0) >= SCREEN * error) & (df >= LEAST) if screen else df > 0
-    flat, owner = flat[chosen[flat]], owner[chosen[flat]]
+    held = chosen[flat]
+    flat, owner = flat[held], np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[held]
     used, flat = np.unique(flat, return_inverse=True)
     w, b = np.zeros(len(used)), float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
     m = v = np.zeros(len(used) + 1)
@@ -175,6 +177,7 @@ def featured(docs: DataFrame) -> DataFrame:
     """``doc_id, content, meta`` of ``docs``: feature numbers of both views."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo.only("cotraining", _features.clear)
         for batch in slices(batches, "text"):
             one = [content(x) for x in batch.column(1).to_pylist()]
             other = [meta(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
@@ -295,6 +298,7 @@ def scores(docs: DataFrame, model: Model) -> Column:
 
     @F.pandas_udf("p_low double, p_toxic double")
     def score(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        memo.only("cotraining", _features.clear)
         for text, lang, source, n_chars in parts:
             one = [content(x) for x in text]
             sizes = [None if n < 0 else int(n) for n in n_chars]

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quern.plans import memo
 from quern.plans.arrow import slices
 from quern.plans.shared import filesystem, new_path, prepare
 
@@ -116,6 +117,7 @@ def write(df: DataFrame, tokenizer: str, end_id: int, path: str | None = None, i
     system.create_dir(folder, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo.only("token_files", _encoders.clear)
         own, files, docs, lengths, nulls = encoder(spec.value), None, [], [], 0
         end, task = np.array([end_id], dtype=own.dtype).tobytes(), TaskContext.get()
         for batch in slices(batches, text_col):
