@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.plans.shared import stored
 
 VERSION = 1
 # Fixed values of the binary layout: magic number and version.
@@ -52,7 +53,8 @@ def term_order(terms: DataFrame) -> DataFrame:
 
 def corpus_size(postings: DataFrame) -> int:
     """Greatest document id with a term, plus 1."""
-    return postings.agg(F.max("doc_id")).first()[0] + 1 if postings.take(1) else 0
+    last = postings.agg(F.max("doc_id")).first()[0]
+    return 0 if last is None else last + 1
 
 
 @dataclass
@@ -74,7 +76,8 @@ class Index:
 
 
 def build(docs: DataFrame, stop: Sequence[str] | None = None) -> Index:
-    postings = tokens(docs, stop)
+    """The index of ``docs`` (doc_id, text, ...). Texts are tokenised once, into a table in the shared folder; the rest derives from it."""
+    postings = stored(tokens(docs, stop), "postings")
     return Index(postings, vocabulary(postings), docs, corpus_size(postings))
 
 

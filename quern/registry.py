@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern import oracle as O
 from quern.functions import text as T
 from quern.operators import cache, index, present, search
-from quern.plans.shared import filesystem, new_path
+from quern.plans.shared import filesystem, new_path, stored
 from quern.sources import files
 
 QUERY, PHRASE, REPEATED, STOPPED = "eriner thanea ing", "attion thanedble anea", "ing thth ing", "attion the thanedble"
@@ -142,7 +142,7 @@ def postings(spark, d):
 
 @query(f"WITH t AS ({O.TOKENS}), f AS (SELECT term, min({{'d': doc_id, 'p': pos}}) AS f FROM t GROUP BY term) SELECT term, f.d AS first_doc, f.p AS first_pos, row_number() OVER (ORDER BY f) - 1 AS term_ord FROM f")
 def vocab_order(spark, d):
-    terms = index.vocabulary(doc_tokens(spark, d))
+    terms = stored(index.vocabulary(doc_tokens(spark, d)), "terms")
     return terms.join(index.term_order(terms), "term").select("term", "first_doc", "first_pos", "term_ord")
 
 
@@ -175,7 +175,7 @@ def doc_freq(spark, d):
 
 @query(f"WITH t AS ({O.TOKENS}) SELECT term, round({O.idf('count(DISTINCT doc_id)')}, 6) AS idf FROM t GROUP BY term")
 def idf(spark, d):
-    t = doc_tokens(spark, d)
+    t = stored(doc_tokens(spark, d), "tokens")
     return search.idfs(t, index.corpus_size(t))
 
 
@@ -193,14 +193,14 @@ for _name, _text in (("tfidf_top10", "ing"), ("phrase_match", PHRASE), ("search_
 @query(O.ranked(O.exploded("qid", O.query_terms("text"), "(SELECT conv_id * 1000 + turn AS qid, text FROM conversations WHERE role = 'user')", "qpos")))
 def batch_search_top10(spark, d):
     asked = conversations(spark, d).where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query"))
-    t = doc_tokens(spark, d)
+    t = stored(doc_tokens(spark, d), "tokens")
     return search.batch_search(t, asked, index.corpus_size(t))
 
 
 @query(O.ranked(O.exploded("qid", O.query_terms("text"), "(SELECT item_id AS qid, text FROM benchmark)", "qpos")))
 def benchmark_search(spark, d):
     asked = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    t = doc_tokens(spark, d)
+    t = stored(doc_tokens(spark, d), "tokens")
     return search.batch_search(t, asked, index.corpus_size(t))
 
 
