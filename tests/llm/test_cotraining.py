@@ -51,3 +51,14 @@ def test_calibration():
     y = (rnd.random(20_000) < c.sigmoid(0.7 * x - 1.5)).astype(float)
     scale, shift = c.calibration(3 * x + 2, y)
     assert abs(3 * scale - 0.7) < 0.06 and abs(2 * scale + shift + 1.5) < 0.06
+
+
+def test_capitals_of_the_whole_text(odd_docs):
+    def tenth(text):
+        return c._features[f" upper {10 * sum(map(str.isupper, text)) // len(text)}"]
+
+    odd = [r.text for r in odd_docs.select("text").collect() if r.text]
+    for text in ["This.", "Thtion.", "Abcdef " * 50, "aBCDEFG" * 50, "\u00c9\u00c9\u00c9\u00e9A", "\u216f\u24b6\u01c5a", "x\ud800A", *odd]:
+        assert tenth(text) in c.content(text)
+        assert c.capitals(text) == sum(map(str.isupper, text))
+    assert c._features[" upper 10"] not in c.content("Abcdef " * 50)
