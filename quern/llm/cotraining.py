@@ -7,7 +7,8 @@ calibrated predictions of one view become labels for the other. At the end the c
 are combined as independent evidence (log-odds added, prior taken off once) and calibrated again, and all documents are scored.
 
 Fitting is bounded: at most ``LABELLED`` labelled rows and, in each round, ``PSEUDO`` pseudo-labelled rows
-for each view and target, chosen by hash of the document id, reach the driver. Everything else covers all documents.
+for each view and target, chosen by hash of the document id among the ids that the documents hold, reach the driver. Rows
+that repeat an id count once there, by the row whose features have the least hash. Everything else covers all documents.
 
 Defined results: null and empty texts have no words; null metadata is a value of its own; a document with several
 labels counts as its worst; labels without a document id, or with only nulls, are ignored; without labels of both classes of a target
@@ -182,7 +183,7 @@ def _length(df: DataFrame) -> Column:
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """``doc_id, content, meta`` of ``docs``: feature numbers of both views."""
+    """``doc_id, content, meta, key`` of ``docs``: feature numbers of both views, and their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo.only("cotraining", _features.clear)
@@ -192,18 +193,25 @@ def featured(docs: DataFrame) -> DataFrame:
             lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in x])]).astype(np.int32)), pa.array(np.concatenate(x), pa.int32())) for x in (one, other)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "content", "meta"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), _length(docs).alias("n_chars")).mapInArrow(run, "doc_id long, content array<int>, meta array<int>")
+    found = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), _length(docs).alias("n_chars")).mapInArrow(run, "doc_id long, content array<int>, meta array<int>")
+    return found.withColumn("key", F.xxhash64("content", "meta"))
+
+
+def _once(df: DataFrame, *by: str) -> DataFrame:
+    """One row for each ``by``: the one whose features have the least hash."""
+    rest = [c for c in ("key", "content", "meta", *df.columns) if c in df.columns and c not in by]
+    return df.groupBy(*by).agg(F.min(F.struct(*dict.fromkeys(rest))).alias("r")).select(*by, "r.*")
 
 
 def _rows(df: DataFrame) -> pd.DataFrame:
-    """A bounded table with both views on the driver."""
+    """A bounded table with both views on the driver, by document id."""
     got = df.toArrow()
     out = {name: got.column(name).to_numpy() for name in got.column_names if name not in ("content", "meta")}
     for name in ("content", "meta"):
         col = got.column(name).combine_chunks()
         flat, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
         out[name] = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
-    return pd.DataFrame(out)
+    return pd.DataFrame(out).sort_values("doc_id", kind="stable", ignore_index=True)
 
 
 def _train(model: Model, known: pd.DataFrame, pseudo: dict, final: bool = False) -> None:
@@ -245,7 +253,7 @@ def _train(model: Model, known: pd.DataFrame, pseudo: dict, final: bool = False)
 
 
 def _confident(features: DataFrame, model: Model) -> DataFrame:
-    """``doc_id`` and, for each target and view, the label of which the view is confident, else null."""
+    """``doc_id``, ``key`` and, for each target and view, the label of which the view is confident, else null."""
     own = features.sparkSession.sparkContext.broadcast(model)
     names = [f"{t}_{v}" for t in TARGETS for v in ("content", "meta")]
 
@@ -257,13 +265,13 @@ def _confident(features: DataFrame, model: Model) -> DataFrame:
                 col = batch.column(i)
                 flat, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
                 views.append([flat[a:b] for a, b in zip(ends[:-1], ends[1:])])
-            out = [batch.column(0)]
+            out = [batch.column(0), batch.column(3)]
             for t in TARGETS:
                 for odds in own.value.view_odds(t, *views) if t in own.value.views else [np.zeros(batch.num_rows)] * 2:
                     out.append(pa.array(np.where(odds > edge, 1, 0), pa.int32(), mask=np.abs(odds) < edge))
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "key", *names])
 
-    return features.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} int" for n in names))
+    return features.mapInArrow(run, "doc_id long, key long, " + ", ".join(f"{n} int" for n in names))
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS) -> Model:
@@ -271,27 +279,31 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo:
     prepare(docs.sparkSession)
     model = Model()
     worst = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("low"), F.max("toxic").cast("int").alias("toxic"))
+    features = stored(featured(docs), "features")
+    worst = worst.join(features.select("doc_id").distinct(), "doc_id", "left_semi")
     worst = stored(worst.withColumn("h", F.xxhash64("doc_id")), "labels")
     sample = worst.orderBy("h", "doc_id").limit(labelled)
-    features = stored(featured(docs), "features")
-    known = _rows(features.join(F.broadcast(sample), "doc_id").select("content", "meta", "low", "toxic", F.pmod(F.shiftright("h", 8), F.lit(4)).alias("fold")).limit(2 * labelled))
+    known = features.join(F.broadcast(sample), "doc_id").select("doc_id", "key", "content", "meta", "low", "toxic", F.pmod(F.shiftright("h", 8), F.lit(4)).alias("fold"))
+    known = _rows(_once(known, "doc_id"))
     if not len(known):
         return model
     found: dict = {}
     _train(model, known, found)
     for i in range(rounds if model.views else 0):
-        sure = stored(_confident(features, model).join(worst.select("doc_id"), "doc_id", "left_anti"), "confident")
+        sure = _once(_confident(features.where("doc_id IS NOT NULL"), model), "doc_id")
+        sure = stored(sure.join(worst.select("doc_id"), "doc_id", "left_anti"), "confident")
         parts = []
         for t in TARGETS:
             for giver, taker in (("content", "meta"), ("meta", "content")):
                 for y in (0, 1):
                     share = sigmoid(model.prior[t]) if t in model.prior else 0.5
                     most = max(1, round(pseudo * (share if y else 1 - share)))
-                    parts.append(sure.where(F.col(f"{t}_{giver}") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", F.lit(t).alias("target"), F.lit(taker).alias("taker"), F.lit(y).alias("y")))
+                    parts.append(sure.where(F.col(f"{t}_{giver}") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "key", F.lit(t).alias("target"), F.lit(taker).alias("taker"), F.lit(y).alias("y")))
         chosen = parts[0]
         for p in parts[1:]:
             chosen = chosen.unionByName(p)
-        new = _rows(features.join(F.broadcast(chosen), "doc_id").select("content", "meta", "target", "taker", "y").limit(8 * pseudo))
+        new = features.join(F.broadcast(chosen), ["doc_id", "key"]).select("doc_id", "content", "meta", "target", "taker", "y")
+        new = _rows(_once(new, "doc_id", "target", "taker", "y"))
         dropped(sure)
         for (t, taker), rows in new.groupby(["target", "taker"]) if len(new) else ():
             found[t, taker] = rows

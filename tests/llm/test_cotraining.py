@@ -62,3 +62,31 @@ def test_capitals_of_the_whole_text(odd_docs):
         assert tenth(text) in c.content(text)
         assert c.capitals(text) == sum(map(str.isupper, text))
     assert c._features[" upper 10"] not in c.content("Abcdef " * 50)
+
+
+def test_repeated_and_absent_documents_take_no_label_away(spark, monkeypatch):
+    """The fit sees each labelled document that exists once, however many rows share an id and however many labels have no document."""
+    rows = [(i, f"word{i} text", "en", f"s{i}", 50) for i in range(40)] + [(0, f"copy{i % 3}", "en", "s", 9) for i in range(300)]
+    labels = [(i, i % 2, 0) for i in range(40)] + [(i, 0, 0) for i in range(1000, 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen = []
+    monkeypatch.setattr(c, "_train", lambda model, known, pseudo, final=False: seen.append(known))
+    c.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), labelled=40, pseudo=10)
+    c.train(docs.orderBy(F.desc("text")), spark.createDataFrame(labels[::-1], "doc_id long, quality int, toxic int"), labelled=40, pseudo=10)
+    assert len(seen[0]) == 40 and (seen[0].low == 1).sum() == 20
+    assert [list(x) for x in seen[0].content] == [list(x) for x in seen[1].content]
+
+
+def test_repeated_documents_are_pseudo_labelled_once(spark, monkeypatch):
+    rows = [(i, f"{'bad' if i % 2 else 'good'} w{i % 7}", "en", "spam" if i % 2 else "fine", 50) for i in range(1000)]
+    rows += [(2001, "bad w1", "en", "spam", 50)] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen, own = [], c._train
+
+    def train(model, known, pseudo, final=False):
+        seen.append({k: len(v) for k, v in pseudo.items()})
+        own(model, known, pseudo, final)
+
+    monkeypatch.setattr(c, "_train", train)
+    c.train(docs, spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(800)], "doc_id long, quality int, toxic int"), pseudo=1000)
+    assert seen[-1] == {("low", "content"): 201, ("low", "meta"): 201}
