@@ -6,8 +6,10 @@ of a query block and a candidate block one task scatters the weighted postings o
 term into a dense score array, selects the best k by partition, and the partial lists merge.
 Both block sizes are fixed, so a task's memory does not grow with the tables.
 
-Defined results: component x becomes floor(scale * x), held to +-2**24 so that scores of up to
-32,768 terms fit 64 bits; null vectors and those with null, NaN or infinite components take no part;
+Scores are sums of 64-bit integers, or of Python's where a bound of the sum does not fit those.
+
+Defined results: component x becomes floor(scale * x); one beyond 64 bits raises an error, as does a score
+beyond them among the best k; null vectors and those with null, NaN or infinite components take no part;
 missing components (shorter vectors) count as 0; ties go to the smaller id; a row never is its
 own candidate, though another row with the same id is; rows with null ids take no part; an empty
 table gives no rows; other columns are ignored.
@@ -24,14 +26,16 @@ from quern.plans.shared import prepare, stored
 
 #: Rows of a candidate block and of a query block; score arrays hold QUERIES * CANDIDATES / 16 longs at once.
 CANDIDATES, QUERIES = 8192, 512
-LIMIT = 1 << 24
+LIMIT = 1 << 63
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """``row`` (its place in the scan), ``id``, and ``w``: the integer components of usable vectors."""
     x = F.col(vector_col)
     bad = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    whole = F.transform(x, lambda v: F.floor(F.least(F.greatest(v.cast("double") * F.lit(float(scale)), F.lit(float(-LIMIT))), F.lit(float(LIMIT)))).cast("int"))
+    scaled = lambda v: v.cast("double") * F.lit(float(scale))
+    fits = lambda v: (scaled(v) >= F.lit(float(-LIMIT))) & (scaled(v) < F.lit(float(LIMIT)))
+    whole = F.transform(x, lambda v: F.when(fits(v), F.floor(scaled(v))).otherwise(F.raise_error(F.lit("a scaled component does not fit 64 bits")).cast("long")))
     return df.select(F.col(id_col).alias("id"), x).where(F.col("id").isNotNull() & F.col(vector_col).isNotNull() & ~F.exists(x, bad)).select(F.monotonically_increasing_id().alias("row"), "id", whole.alias("w"))
 
 
@@ -48,6 +52,11 @@ def _sparse(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return terms[order], rows[order], flat[order]
 
 
+def _most(weights: np.ndarray) -> int:
+    """The greatest absolute weight."""
+    return max(int(weights.max()), -int(weights.min())) if len(weights) else 0
+
+
 def block_top(query: pa.Table, found: pa.Table, k: int) -> pa.Table:
     """The best k of one candidate block for each query of one query block."""
     order = np.argsort(found.column("id").to_numpy(), kind="stable")  # a smaller place is a smaller id
@@ -58,16 +67,18 @@ def block_top(query: pa.Table, found: pa.Table, k: int) -> pa.Table:
     bounds = np.flatnonzero(np.diff(terms, prepend=-1, append=-1)) if len(terms) else np.zeros(0, np.int64)
     postings = {int(terms[a]): (posted[a:b], weights[a:b]) for a, b in zip(bounds[:-1], bounds[1:])} if len(terms) else {}
     q_terms, q_rows, q_weights = _sparse(query.column("w"))
-    n, out = len(c_id), []
+    n, out, most = len(c_id), [], _most(weights)
     for first in range(0, len(q_id), 32):
         last = min(first + 32, len(q_id))
-        scores = np.zeros((last - first, n), dtype=np.int64)
         mine = (q_rows >= first) & (q_rows < last)
         own_terms, own_rows, own_weights = q_terms[mine], q_rows[mine] - first, q_weights[mine]
+        # a sum that might not fit 64 bits is taken over Python's integers
+        kind = np.int64 if _most(own_weights) * most * len(np.unique(own_terms)) < LIMIT else object
+        scores, own_weights = np.zeros((last - first, n), dtype=kind), own_weights.astype(kind)
         at = np.flatnonzero(np.diff(own_terms, prepend=-1, append=-1)) if len(own_terms) else np.zeros(0, np.int64)
         for a, b in zip(at[:-1], at[1:]):
             if (hit := postings.get(int(own_terms[a]))) is not None:
-                add = own_weights[a:b, None] * hit[1][None, :]
+                add = own_weights[a:b, None] * hit[1][None, :].astype(kind)
                 if len(hit[0]) == n and b - a == last - first:
                     scores += add
                 else:
@@ -83,7 +94,7 @@ def block_top(query: pa.Table, found: pa.Table, k: int) -> pa.Table:
             out.append((first + i, at_free, s[at_free]))
     places = np.repeat([x[0] for x in out], [len(x[1]) for x in out]).astype(np.int64) if out else np.zeros(0, np.int64)
     chosen = np.concatenate([x[1] for x in out]).astype(np.int64) if out else np.zeros(0, np.int64)
-    score = np.concatenate([x[2] for x in out]).astype(np.int64) if out else np.zeros(0, np.int64)
+    score = np.concatenate([x[2].astype(np.int64) for x in out]) if out else np.zeros(0, np.int64)
     return pa.table({"q_row": q_row[places], "query_id": q_id[places], "id": c_id[chosen], "score": score})
 
 

@@ -1,7 +1,10 @@
 import math
 import random
 
-from quern.llm import exact_topk
+import duckdb
+import pytest
+
+from quern.llm import exact_topk, queries
 
 
 def brute(rows, k):
@@ -38,3 +41,24 @@ def test_fewer_candidates_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in exact_topk.top_k(df, lambda i: i % 100 == 0).collect()] == [(0, 1, 1, 2048 * 1024)]
     assert exact_topk.top_k(df.limit(0), lambda i: i % 100 == 0).count() == 0
+
+
+def test_large_components(spark):
+    """Against the query's SQL: components beyond 2**14, and sums that leave 64 bits on the way to a score within them."""
+    rnd = random.Random(4)
+    rows = [(i, [rnd.choice([1e5, -1e5, 99_999.5, 20_000.25, 16_385.0, 0.5]) for _ in range(6)]) for i in range(300)]
+    rows += [(1000, [2e6, 2e6, 2e6, 2e6, 2e6, 2e6]), (1001, [1.4e6, 1.4e6, 1.4e6, -1.4e6, -1.4e6, -1.3e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = exact_topk.top_k(df, lambda i: i % 100 == 0)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    key = lambda r: (r.query_id, r.rank, r.vec_id, r.score)
+    mine = sorted(map(key, got.collect()))
+    assert mine == sorted(con.execute(queries.SQL_op10_exact_topk).fetchall()) == brute(rows, 10)
+
+
+def test_component_beyond_64_bits(spark):
+    df = spark.createDataFrame([(0, [1e17]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        exact_topk.top_k(df, lambda i: i % 100 == 0).collect()
