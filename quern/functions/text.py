@@ -74,10 +74,11 @@ def doc_tokens(text: Column, stop: Sequence[str] | None = None, max_tokens: int
     return F.slice(out, 1, max_tokens) if max_tokens else out
 
 
-def query_terms(text: Column, strict: bool = False) -> Column:
-    """Keywords of a query in order, at most 256; ``strict``: of ASCII only."""
+def query_terms(text: Column, strict: bool = False, max_terms: int | None = None) -> Column:
+    """Keywords of a query in order; ``strict``: of ASCII only; ``max_terms``: the first so many."""
     found = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(STRICT_QUERY if strict else QUERY), F.lit(0))
-    return F.slice(F.transform(found, lambda t: F.substr(t, F.lit(1), F.lit(TOKEN_BYTES))), 1, KEYWORDS)
+    out = F.transform(found, lambda t: F.substr(t, F.lit(1), F.lit(TOKEN_BYTES)))
+    return F.slice(out, 1, max_terms) if max_terms else out
 
 
 def clean_ascii(text: Column) -> Column:

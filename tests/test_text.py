@@ -117,3 +117,10 @@ def test_stopwords():
     words = T.stopwords()
     assert len(words) == len(set(words)) == 204
     assert sum(bool(re.fullmatch("[a-z]+", w)) for w in words) == 97
+
+
+def test_query_keeps_all_keywords(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    df = spark.createDataFrame([(text,)], "text string")
+    whole, strict, first = df.select(T.query_terms(F.col("text")), T.query_terms(F.col("text"), True), T.query_terms(F.col("text"), max_terms=256)).first()
+    assert whole == strict == text.split() and first == whole[:256]
