@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType
 from quern.functions import text as T
 from quern.plans.shared import prepare
 
-#: Larger files give a document without content.
+#: Limits for ``most_bytes``, beyond which a file of a kind gives a document without content.
 MOST_BYTES = {"html": 50 << 20, "pdf": 50 << 20, "docx": 30 << 20}
 #: Shorter strings are not taken where a PDF has no text operators.
 LEAST_STRING = 4
@@ -132,17 +132,17 @@ def _name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def read_documents(spark: SparkSession, folder: str, docx_join: bool = False, max_bytes: int | None = None) -> DataFrame:
+def read_documents(spark: SparkSession, folder: str, docx_join: bool = False, max_bytes: int | None = None, most_bytes: dict[str, int] | None = None) -> DataFrame:
     """``doc_id, file_name, text, modified`` of the supported files of a folder, not its subfolders.
 
-    Ids number the files by name from 0. Text is in lower case of ASCII; a text file ends at its first NUL; empty and
-    oversized files give empty text. ``max_bytes`` cuts texts, at whole characters.
+    Ids number the files by name from 0. Text is in lower case of ASCII; a text file ends at its first NUL; empty
+    files give empty text, as do files larger than ``most_bytes`` has for their kind. ``max_bytes`` cuts texts, at whole characters.
     """
     prepare(spark)
     files = spark.read.format("binaryFile").load(folder)
     files = files.select(_name("path").alias("file_name"), "modificationTime", "length", "content").withColumn("kind", T.file_type(F.col("file_name"))).where("kind != 'unknown'")
     fits = F.lit(True)
-    for kind, most in MOST_BYTES.items():
+    for kind, most in (most_bytes or {}).items():
         fits = fits & ((F.col("kind") != kind) | (F.col("length") <= most))
     content = F.when(fits, F.col("content"))
     plain = F.make_valid_utf8(content.cast("string"))
@@ -182,9 +182,9 @@ def stale(spark: SparkSession, folder: str, built) -> bool:
     return built is None or not found or max(at for _, at in found) > built
 
 
-def read_stopwords(spark: SparkSession, path: str | None) -> Sequence[str]:
-    """Stop words of a file, one on a line: leading blanks go, blank lines and those that begin with # are skipped; None gives the default words."""
+def read_stopwords(spark: SparkSession, path: str | None, most: int | None = None) -> Sequence[str]:
+    """Stop words of a file, one on a line: leading blanks go, blank lines and those that begin with # are skipped; None gives the default words. ``most``: the first so many different ones."""
     if path is None:
         return T.stopwords()
     lines = spark.read.text(path).where("value != '' AND NOT startswith(value, '#')").select(F.regexp_replace("value", r"^[ \t]+|\r+$", "").alias("word")).where("word != ''")
-    return sorted({r.word for r in lines.limit(2048).collect()})
+    return sorted(r.word for r in lines.distinct().collect())[:most]

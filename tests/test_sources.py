@@ -56,3 +56,14 @@ def test_stream(spark, tmp_path):
         assert not query.isActive and query.exception() is None
     got = spark.read.parquet(out)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_limits_are_off(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MOST_BYTES", {"html": 5})
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.html").write_text("<p>longer than five</p>")
+    (tmp_path / "s.txt").write_text("\n".join(f"word{i}" for i in range(3000)))
+    folder, words = str(tmp_path / "docs"), str(tmp_path / "s.txt")
+    assert "longer than five" in files.read_documents(spark, folder).first().text
+    assert files.read_documents(spark, folder, most_bytes=files.MOST_BYTES).first().text == ""
+    assert len(files.read_stopwords(spark, words)) == 3000 and len(files.read_stopwords(spark, words, most=5)) == 5
