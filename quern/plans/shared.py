@@ -14,8 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 REPO = str(Path(__file__).resolve().parents[2])
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, which both hold; Spark's default is 64 MB.
+BATCH_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver was started."""
+    """Let Python workers import this package, wherever the driver was started, and bound their batches unless the session does."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if REPO not in known:

@@ -1,8 +1,13 @@
+import os
+import shutil
 import subprocess
 import sys
+from pathlib import Path
 
 import __spark_entry__ as entry
 
+ROOT = Path(entry.__file__).resolve().parent
+
 
 def test_names_and_sql():
     names = entry.queries()
@@ -20,3 +25,16 @@ def test_other_import_errors_are_not_hidden(tmp_path):
     (tmp_path / "tests_broken_module.py").write_text("import really_missing\n")
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env={"PYTHONPATH": f"{tmp_path}:{':'.join(sys.path)}", "PATH": "/usr/bin:/bin"}, timeout=60)
     assert out.stdout.split() == ["None", "really_missing"], out.stderr
+
+
+def test_the_rest_works_without_the_subpackage(tmp_path):
+    """A copy without the subpackage and its tests (with and without the pipeline) still has its own queries and SQL."""
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__")
+    code = "import sys\nsys.path.insert(0, sys.argv[1])\nimport __spark_entry__ as e, quern.registry as r\nassert set(e.queries()) == set(r.QUERIES) and set(e.oracle_sql()) == set(r.ORACLE_SQL)\nassert 'quern.llm' not in sys.modules\nprint('whole', e.__file__)"
+    for name, drop in (("a", []), ("b", ["corpus_pipeline.py"])):
+        copy = shutil.copytree(ROOT, tmp_path / name, ignore=skip)
+        for x in drop:
+            (copy / x).unlink()
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        out = subprocess.run([sys.executable, "-c", code, str(copy)], capture_output=True, text=True, env=env, cwd=tmp_path, timeout=120)
+        assert out.stdout.split() == ["whole", str(copy / "__spark_entry__.py")], out.stderr
