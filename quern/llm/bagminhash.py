@@ -16,7 +16,8 @@ give all similarities and only links that join classes leave the task.
 Defined results: words are runs of ASCII letters (case ignored), digits and other characters beyond ASCII; a text of fewer words than a
 shingle, but not none, is one shingle; texts without words (null, empty) are alike to no other
 row: each has its own class; the class id is the least document id of the class, null if all its ids are null; repeated
-rows are in one class; other columns are ignored; an empty table gives no rows.
+rows are in one class, and of ties in the least id the row with the least text stays; long texts are compared whole; other columns, whatever
+their names, are ignored by ``classes`` and kept as they are by ``deduplicated``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,13 +35,16 @@ from quern.llm.decontaminate import words_of
 from quern.plans import memo
 from quern.plans.arrow import slices
 from quern.plans.components import components
+from quern.plans.names import fresh
 from quern.plans.shared import dropped, prepare, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 6: a pair at similarity 0.8 shares a band with probability 0.9999, one at 0.3 with 0.02.
 BANDS, ROWS = 32, 6
 #: Buckets up to SMALL nodes give pairs, larger ones are compared in blocks of BLOCK nodes.
-SMALL, BLOCK = 16, 256
+SMALL, BLOCK, BLOCK_BYTES = 16, 256, 16 << 20
+#: Partners of a node that one task compares with it, about.
+FAN = 256
 CACHE_ENTRIES = 300_000
 FULL = 0xFFFFFFFFFFFFFFFF
 EMPTY = np.uint64(FULL)
@@ -172,22 +176,33 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose texts' multisets overlap enough; ``texts`` (id, text) has a row for each node."""
+    """The distinct ``pairs`` (a, b) whose texts' multisets overlap enough; ``texts`` (id, text) has a row for each node.
+
+    A worker gets the text of ``a`` once before those of up to ``FAN`` of its partners or so, and holds one slice of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo.only("bagminhash", _hashes.clear)
-        for batch in slices(batches, "y"):
-            last, x, keep = None, None, []
-            for a, one, other in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                if a != last:
-                    last, x = a, shingles(words_of(one))
-                keep.append(overlap(x, shingles(words_of(other))) >= similarity)
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    other = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        own, x = None, None
+        for batch in slices(batches, "text"):
+            found: tuple[list, list] = [], []
+            for a, b, text in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4))):
+                if b is None:
+                    own, x = a, shingles(words_of(text))
+                elif a != own:
+                    raise ValueError("a pair's first text is missing")
+                elif overlap(x, shingles(words_of(text))) >= similarity:
+                    found[0].append(a)
+                    found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
+
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("parts"))
+    members = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    first = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
+    # texts are streamed past small tables of ids, not sorted for the join
+    wanted = members.select(F.col("b").alias("id"), "a", "part", "b").unionByName(first.select(F.col("a").alias("id"), "a", "part", "b"))
+    rows = texts.join(wanted.hint("shuffle_hash"), "id").select("a", "part", F.col("b").isNotNull().alias("later"), "b", "text")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "later").mapInArrow(run, "a long, b long")
 
 
 def linked(rows: pa.Table, similarity: float) -> list[tuple[int, int]]:
@@ -244,7 +259,10 @@ def _within(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
         links = linked(rows, similarity)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    blocks = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    # a block holds BLOCK nodes or BLOCK_BYTES of text, about
+    sized = rest.join(texts.select("id", F.octet_length("text").cast("long").alias("bytes")), "id")
+    total = sized.groupBy("key").agg(F.sum("bytes").alias("total"))
+    blocks = rest.join(total, "key").withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_BYTES)).cast("int"))
     own = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # a block meets every block of its bucket once
     meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -252,32 +270,35 @@ def _within(rest: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return meets.join(texts, "id").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id, text`` of the ``wanted`` nodes: the text of a row with the node's least id and its words."""
-    # null ids are told from 0 by their flag; rows that share an id with other texts are told by their words
-    key = [F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("none")]
-    places = nodes.join(wanted, "id", "left_semi").select("id", "node", *key)
+def _keys() -> list:
+    """Null ids are told from 0 by a flag."""
+    return [F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNull().alias("none")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            keep = pa.array([node_of(words_of(t)) == n for n, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], names=["id", "text"])
 
-    found = docs.select(*key, "text").join(places, ["doc", "none"]).select("id", "node", "text").mapInArrow(run, "id long, text string")
-    return found.groupBy("id").agg(F.min("text").alias("text"))
+def _texts(docs: DataFrame, nodes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``id, text`` of ``nodes`` (id, node, doc): the text of the row with the node's least id.
+
+    An id of one row names its text. Where an id repeats (``repeated``: doc, none), its rows are told apart by their words.
+    """
+    places = nodes.select("id", "node", *_keys()).join(repeated.withColumn("many", F.lit(True)), ["doc", "none"], "left")
+    rows = docs.select(*_keys(), "text")
+    one = rows.join(places.where("many IS NULL").hint("shuffle_hash"), ["doc", "none"]).select("id", "text")
+    more = rows.join(places.where("many").hint("shuffle_hash"), ["doc", "none"]).where(node_column(F.col("text")) == F.col("node"))
+    return one.unionByName(more.groupBy("id").agg(F.min("text").alias("text")))
 
 
-def _classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``doc, node`` of every row, and ``node, doc, n, root`` of every node: its least id, its rows, its class."""
+def _classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``doc, node`` of every row; ``node, doc, n, root`` of every node: its least id, its rows, its class; and ``doc, none`` of ids of several rows."""
     prepare(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     own = stored(signed(docs), "signed")
+    repeated = stored(own.select(*_keys()).groupBy("doc", "none").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
     grouped = own.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
     nodes = stored(grouped.select(F.monotonically_increasing_id().alias("id"), "*"), "nodes")
     keyed = nodes.select("id", F.explode("bands").alias("key"))
     least = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("n")).where("a != z").drop("z")
     live = stored(keyed.join(least, "key"), "buckets")
-    texts = stored(_texts(docs, nodes, live.select("id").distinct()), "texts")
+    texts = stored(_texts(docs, nodes.join(live.select("id").distinct(), "id", "left_semi"), repeated), "texts")
     pairs = stored(live.where("id != a").select("a", F.col("id").alias("b")).distinct(), "pairs")
     links = stored(verified(pairs, texts, similarity), "links")
     roots = components(links)
@@ -288,28 +309,43 @@ def _classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -> tu
     small = rest.where(F.col("n") <= SMALL)
     left, right = small.select("key", F.col("id").alias("a"), F.col("root").alias("r")), small.select("key", F.col("id").alias("b"), F.col("root").alias("s"))
     across = left.join(right, "key").where("r < s").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = verified(across.join(pairs, ["a", "b"], "left_anti"), texts, similarity)
-    more = stored(links.unionByName(across).unionByName(_within(rest.where(F.col("n") > SMALL), texts, similarity)), "links")
+    across = stored(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = stored(links.unionByName(verified(across, texts, similarity)).unionByName(_within(rest.where(F.col("n") > SMALL), texts, similarity)), "links")
     roots = components(more)
     out = stored(nodes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("node", "doc", "n", F.coalesce("root", "id").alias("root")), "classes")
-    dropped(texts, links, rest, live, pairs, more, nodes)
-    return own.select("doc", "node"), out
+    dropped(texts, links, rest, live, pairs, across, more, nodes)
+    return own.select("doc", "node"), out, repeated
 
 
 def classes(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` (as ``id_col``), ``class_id`` and ``n_class``, the number of its documents, for every row."""
-    own, nodes = _classes(df, similarity, id_col, text_col)
+    own, nodes, repeated = _classes(df, similarity, id_col, text_col)
+    dropped(repeated)
     named = nodes.groupBy("root").agg(F.min("doc").alias("class_id"), F.sum("n").alias("n_class"))
     out = own.join(nodes.select("node", "root").join(named, "root").select("node", "class_id", "n_class"), "node", "left")
     return out.select(F.col("doc").alias(id_col), F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"))
 
 
 def deduplicated(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each class, with all its columns: that of the least id; texts without words all stay."""
-    _, nodes = _classes(df, similarity, id_col, text_col)
-    first = nodes.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "node")).alias("x")).select(F.col("x.node").alias("__node"), F.coalesce("x.doc", F.lit(0)).alias("__doc"), F.col("x.none").alias("__none"))
-    own = df.withColumns({"__node": node_column(F.col(text_col)), "__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__none": F.col(id_col).isNull()})
-    key = ["__node", "__doc", "__none"]
-    # rows that agree in id and words are partitioned together by the join already
-    chosen = own.where("__node IS NOT NULL").join(first, key, "left_semi").withColumn("__copy", F.row_number().over(Window.partitionBy(*key).orderBy(text_col))).where("__copy = 1")
-    return chosen.select(*df.columns).unionByName(own.where("__node IS NULL").select(*df.columns))
+    """One row of each class, with all its columns: that of the least id; texts without words all stay.
+
+    Rows are chosen by id: texts are streamed past the ids that stay. Only rows whose id repeats are told
+    apart by their words, and of those that agree in both the one with the least text stays.
+    """
+    own, nodes, repeated = _classes(df, similarity, id_col, text_col)
+    first = nodes.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "node")).alias("x")).select("x.node", F.coalesce("x.doc", F.lit(0)).alias("doc"), "x.none")
+    wordless = own.where("node IS NULL").select(*_keys()).distinct()
+    many = repeated.withColumn("many", F.lit(True))
+    chosen = first.select("doc", "none").distinct().unionByName(wordless).distinct().join(many, ["doc", "none"], "left").select("doc", "none", F.coalesce("many", F.lit(False)).alias("many"))
+    chosen = stored(chosen, "chosen")
+    doc, none, node, copy = fresh(df.columns, "doc", "none", "node", "copy")
+    rows = df.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), none: F.col(id_col).isNull()})
+    key = [doc, none]
+    ids = chosen.select(F.col("doc").alias(doc), F.col("none").alias(none), "many")
+    one = rows.join(ids.where("NOT many").drop("many").hint("shuffle_hash"), key, "left_semi")
+    more = rows.join(ids.where("many").drop("many").hint("shuffle_hash"), key, "left_semi").withColumn(node, node_column(F.col(text_col)))
+    wanted = first.select(F.col("doc").alias(doc), F.col("none").alias(none), F.col("node").alias(node))
+    same = Window.partitionBy(*key, node).orderBy(text_col)
+    told = more.where(F.col(node).isNotNull()).join(wanted, [*key, node], "left_semi").withColumn(copy, F.row_number().over(same)).where(F.col(copy) == 1)
+    out = [one, told, more.where(F.col(node).isNull())]
+    return out[0].select(*df.columns).unionByName(out[1].select(*df.columns)).unionByName(out[2].select(*df.columns))

@@ -128,3 +128,21 @@ def test_chains_and_buckets(spark, monkeypatch):
     monkeypatch.setattr(b, "BLOCK", 3)
     assert got(df) == brute(rows)
     assert got(df.limit(0)) == []
+
+
+def test_deduplicated_keeps_clashing_columns_and_repeated_ids(spark, monkeypatch):
+    """Columns named like any that the operator makes come back as they were; an id may name several texts."""
+    names = ["__node", "__doc", "__none", "__copy", "node", "doc", "none", "copy", "DOC", "node_", "id", "many", "root", "text_"]
+    names = [n for i, n in enumerate(names) if n.lower() not in [x.lower() for x in names[:i]]]
+    long = " ".join(f"v{i}" for i in range(40_000))
+    rows = [(1, "a b c d e f g"), (1, "other words are here in this one"), (2, "A b c d e f g"), (None, "null id has these words here"), (None, "null id has these words here!"), (None, None), (3, ""), (3, None), (4, "other words are here in this one"), (5, "Null id has these words here"), (6, long), (7, long + " end"), (0, "zero id is another text than null"), (None, "a null id that has its own text")]
+    df = spark.createDataFrame([(*r, *(f"{n}{i}" for n in names)) for i, r in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for _ in range(2):
+        out = b.deduplicated(df)
+        assert out.columns == df.columns
+        found = {tuple(r) for r in out.collect()}
+        assert found <= {tuple(r) for r in df.collect()}
+        assert sorted(((r[0], r[1]) for r in found), key=str) == sorted([(1, rows[0][1]), (1, rows[1][1]), (None, None), (3, ""), (3, None), (5, rows[9][1]), (6, long), (0, rows[12][1]), (None, rows[13][1])], key=str)
+        assert len(b.classes(df).collect()) == len(rows)
+        monkeypatch.setattr(b, "FAN", 1)
+    assert b.deduplicated(df.limit(0)).collect() == []
