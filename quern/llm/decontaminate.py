@@ -4,13 +4,12 @@ Items are normalised to words; every window of consecutive words becomes a path
 in the automaton, which reads each document's words once. Matched words are mapped back to code
 point offsets of the original text.
 
-The items' words are counted first. Up to ``WORDS`` of them make one automaton, built in each
-worker from broadcast text; more are dealt by item into several automata of that size, each of
-which reads the documents, and the documents' results are merged.
+The items' words are counted first. The automaton takes some 600 bytes for each in every worker, and
+the items are broadcast, so a benchmark of more than ``most`` words raises an error: it needs a greater ``most`` and workers that hold it.
 
-Defined results: null and empty texts have no words and no hits; null or wordless items never occur; items
-with a null id mark words but are not listed; items of one id are one item in the list; repeated
-documents each get their row if one automaton serves (several merge by a row number); other columns are ignored.
+Defined results: null and empty texts have no words and no hits; long texts are scanned whole; null or wordless items never occur; items
+with a null id mark words but are not listed; items of one id are one item in the list, and items that tie in their words are all listed; repeated
+documents each get their row; other columns, whatever their names, are ignored by ``scan`` and kept by ``clean``; an empty table of documents gives no rows, one of items no hits.
 """
 
 from __future__ import annotations
@@ -20,17 +19,16 @@ import zlib
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.plans import memo
 from quern.plans.arrow import slices
-from quern.plans.shared import prepare, stored
+from quern.plans.shared import prepare
 
-#: Words of items in one automaton; a window of ten words takes ten nodes of some 60 bytes.
-WORDS = 200_000
+#: Words of items in the automaton at most; a window of ten words takes ten nodes of some 60 bytes.
+MOST_WORDS = 2_000_000
 #: ASCII letters in lower case, digits, and every byte of other characters stay; the rest parts words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -87,101 +85,60 @@ def _windows(items: list[tuple[str | None, str]], size: int) -> Windows:
     return _built[key]
 
 
-def _scan(docs: DataFrame, items: list, size: int, id_col: str, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    kind = docs.schema[id_col].dataType.simpleString()
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = _windows(shared.value, size)
-        for batch in slices(batches, text_col):
-            counts, spans, found = [], [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                runs, items = windows.scan(words)
-                counts.append(len(words))
-                at = [m.span() for m in WORD.finditer(text)] if runs else []
-                spans.append([{"start": at[a][0], "end": at[b - 1][1], "words": b - a} for a, b in runs])
-                found.append(sorted(x for x in items if x is not None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))], names=[id_col, "n_words", "spans", "items"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, spans array<struct<start:int,end:int,words:int>>, items array<string>")
-
-
-def _shards(benchmark: DataFrame, words: int) -> Iterator[list[tuple[str | None, str]]]:
-    """The items' ids and texts, in parts of about ``words`` words; a part is collected to the driver."""
-    texts = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("body")).where(F.length("body") > 0)
-    count = texts.agg(F.sum(F.regexp_count("body", F.lit(WORD.pattern))).alias("n")).first().n or 0
-    shards = max(1, -(-int(count) // words))
-    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("item", "body"), F.lit(shards)))
-    for i in range(shards):
-        yield [(r.item, r.body) for r in dealt.where(F.col("shard") == i).select("item", "body").collect()]
+def _items(benchmark: DataFrame, most: int) -> list[tuple[str | None, str]]:
+    """The items' ids and texts on the driver, once their words are counted."""
+    texts = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("body")).where(F.length("body") > 0)
+    count = int(texts.agg(F.sum(F.regexp_count("body", F.lit(WORD.pattern))).alias("n")).first().n or 0)
+    if count > most:
+        raise ValueError(f"the benchmark has {count} words, the automaton is bounded to {most}")
+    # only words reach the driver, so the bound holds for what is broadcast
+    return [(r.item, r.body) for r in texts.select("item", F.regexp_replace("body", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ").alias("body")).collect()]
 
 
 def _hit(items: list, spark: SparkSession, size: int):
     """A function of a text column: whether a window of an item occurs."""
     shared = spark.sparkContext.broadcast(items)
 
-    @F.pandas_udf("boolean")
-    def hit(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def hit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         windows = _windows(shared.value, size)
-        for texts in parts:
-            yield pd.Series([bool(windows.scan(words_of(t))[0]) for t in texts], dtype=bool)
+        for batch in batches:
+            found: list[bool] = []
+            for part in slices([pa.RecordBatch.from_arrays([batch], names=["text"])], "text"):
+                found += [bool(windows.scan(words_of(t))[0]) for t in part.column(0).to_pylist()]
+            yield pa.array(found, pa.bool_())
 
     return hit
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", words: int = WORDS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", most: int = MOST_WORDS) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no window of an item occurs."""
     prepare(docs.sparkSession)
-    for items in _shards(benchmark, words):
-        docs = docs.where(~_hit(items, docs.sparkSession, size)(F.col(text_col)))
-    return docs
+    return docs.where(~_hit(_items(benchmark, most), docs.sparkSession, size)(F.col(f"`{text_col}`").cast("string")))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_WORDS) -> DataFrame:
     """``id_col, n_words, spans, items`` for each document.
 
     spans: runs of hit words as code point offsets of the text and their number of words, in order; items: ids
     of the items of which a window occurs, sorted as strings.
     """
     prepare(docs.sparkSession)
-    shards = list(_shards(benchmark, words))
-    if len(shards) == 1:
-        return _scan(docs, shards[0], size, id_col, text_col)
-    own = stored(docs.select(id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "decontaminate")
-    parts = None
-    for items in shards:
-        part = _scan(own, items, size, "row", text_col)
-        parts = part if parts is None else parts.unionByName(part)
-    merged = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    # spans of different automata may overlap: a word is counted in the first run that holds it
-    out = own.select("row", F.col(id_col), F.col(text_col)).join(merged, "row")
-    return _unite(out, id_col, text_col)
-
-
-def _unite(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    kind = df.schema[id_col].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(_items(benchmark, most))
+    kind = docs.schema[id_col].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            rows = []
-            for text, all_ in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
-                out: list[list[int]] = []
-                for x in sorted((x["start"], x["end"]) for x in all_):
-                    if out and x[0] <= out[-1][1]:
-                        out[-1][1] = max(out[-1][1], x[1])
-                    else:
-                        out.append(list(x))
-                # neighbouring words without a gap of other words are one run
-                joined: list[list[int]] = []
-                for x in out:
-                    if joined and not WORD.search(text, joined[-1][1], x[0]):
-                        joined[-1][1] = x[1]
-                    else:
-                        joined.append(x)
-                rows.append([{"start": a, "end": b, "words": len(words_of(text[a:b]))} for a, b in joined])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, span), batch.column(4)], names=[id_col, "n_words", "spans", "items"])
-
-    return df.select(id_col, text_col, "n_words", "all", "items").mapInArrow(run, f"`{id_col}` {kind}, n_words long, spans array<struct<start:int,end:int,words:int>>, items array<string>")
+        windows = _windows(shared.value, size)
+        for batch in slices(batches, "text"):
+            counts, spans, found = [], [], []
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                runs, items = windows.scan(words)
+                counts.append(len(words))
+                at = [m.span() for m in WORD.finditer(text)] if runs else []
+                spans.append([{"start": at[a][0], "end": at[b - 1][1], "words": b - a} for a, b in runs])
+                found.append(sorted(x for x in items if x is not None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(found, pa.list_(pa.string()))], names=[id_col, "n_words", "spans", "items"])
+
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_words long, spans array<struct<start:int,end:int,words:int>>, items array<string>")
