@@ -1,19 +1,26 @@
 """Quality classifier by co-training of two views.
 
-The content view sees which words and marks a text holds, the metadata view its language, source and length. Each
+The content view sees which words and marks a text holds. The metadata view sees the document's language, source and length
+and, of the page that shows it, the host, the shape of the url, the size of the html and its number of tags. Each
 view has a logistic classifier for each of two targets, low quality and toxicity. In each round both are
-trained, calibrated on held-out labels, and score every unlabelled document; confident
-calibrated predictions of one view become labels for the other. At the end the calibrated views
-are combined as independent evidence (log-odds added, prior taken off once) and calibrated again, and all documents are scored.
+trained, calibrated on held-out labels, and score every unlabelled document; predictions of which a view is confident
+become labels for the other. Confidence is measured against the prior: a view is confident of a class
+if its calibrated error is at most the prior's error divided by ``LIFT``, so a view that knows
+no more than the prior hands over nothing; the most confident go first. At the end the calibrated views
+are combined as independent evidence (log-odds added, prior taken off once) and calibrated again, by cross-fitting over four folds;
+the last classifiers are fitted on all labels. All documents are scored from stored features.
+
+A page shows the document whose id is the number at the end of its url's path, as in operator 2; of several pages the
+one with the least id counts. A document without a page has that as a value.
 
 Fitting is bounded: at most ``LABELLED`` labelled rows and, in each round, ``PSEUDO`` pseudo-labelled rows
-for each view and target, chosen by hash of the document id among the ids that the documents hold, reach the driver. Rows
+for each view and target, reach the driver: labelled ones by hash of the document id among the ids that the documents hold, pseudo-labelled ones by confidence, then hash. Rows
 that repeat an id count once there, by the row whose features have the least hash. Everything else covers all documents.
 
-Defined results: null and empty texts have no words; null metadata is a value of its own; a document with several
+Defined results: null and empty texts have no words; long texts count whole; null metadata is a value of its own; a document with several
 labels counts as its worst; labels without a document id, or with only nulls, are ignored; without labels of both classes of a target
-nothing is rejected for it; repeated rows get equal scores; other columns are ignored by ``scores`` and kept by
-``kept``; an empty table gives no rows.
+nothing is rejected for it; repeated rows, and rows that tie in all features, get equal scores; a probability of exactly one half rejects; other columns, whatever
+their names, are ignored by ``classified`` and kept as they are by ``kept``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.url_reputation import host_of, path_of, shown_document
 from quern.plans import memo
 from quern.plans.arrow import slices
+from quern.plans.names import fresh
 from quern.plans.shared import dropped, prepare, stored
 
-LABELLED, PSEUDO, ROUNDS = 16_000, 2_000, 2
-#: Calibrated probability from which a prediction is confident, for either class.
-CONFIDENT = 0.97
+LABELLED, PSEUDO, ROUNDS, FOLDS = 16_000, 2_000, 2, 4
+#: How many times less than the prior a confident prediction of either class errs, by its calibrated probability.
+LIFT = 2.0
 TARGETS = ("low", "toxic")
 CONTENT_BITS, META_BITS = 18, 12
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+")
@@ -81,11 +90,23 @@ def content(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(_features.__getitem__, tokens), np.int32, len(tokens)))
 
 
-def meta(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """Feature numbers of a document's metadata."""
-    size = "null" if n_chars is None or n_chars != n_chars else str(int(n_chars).bit_length() if n_chars >= 0 else -1)
-    parts = [f"lang={lang}", f"source={source}", f"size={size}", f"lang={lang},size={size}"]
-    return np.unique(np.array([zlib.crc32(p.encode("utf-8", "surrogatepass")) & (1 << META_BITS) - 1 for p in parts], np.int32))
+def page_views(pages: DataFrame) -> DataFrame:
+    """``shown, page``: for each document that a page shows, what its page's url and html look like."""
+    path, html = path_of("url"), F.coalesce("html", F.lit(""))
+    bits = lambda n: F.ceil(F.log2(n + 1)).cast("string")
+    shape = F.concat_ws(" ", F.size(F.split(path, "/")).cast("string"), F.regexp_extract(path, "^/([^/0-9]{0,16})/", 1), F.regexp_extract(path, r"([.][A-Za-z0-9]{1,16}|/)$", 1), F.col("url").contains("?").cast("string"), F.col("url").contains("#").cast("string"))
+    tags = F.length(html) - F.length(F.replace(html, F.lit("<"), F.lit("")))
+    seen = pages.select("page_id", shown_document("url").alias("shown"), F.array(F.concat(F.lit("host="), host_of("url")), F.concat(F.lit("url="), shape), F.concat(F.lit("html="), bits(F.length(html))), F.concat(F.lit("tags="), bits(tags))).alias("page"))
+    return seen.where("shown IS NOT NULL").groupBy("shown").agg(F.min(F.struct("page_id", "page")).alias("p")).select("shown", "p.page")
+
+
+def meta(lang: Column, source: Column, n_chars: Column, page: Column) -> Column:
+    """Distinct feature numbers of a document's metadata."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    size = F.when(n_chars.isNull(), "null").when(n_chars < 0, "-1").otherwise(F.length(F.bin(n_chars)).cast("string"))
+    own = F.array(F.concat(F.lit("lang="), text(lang)), F.concat(F.lit("source="), text(source)), F.concat(F.lit("size="), size), F.concat(F.lit("lang="), text(lang), F.lit(",size="), size))
+    parts = F.concat(own, F.coalesce(page, F.array(F.lit("no page"))))
+    return F.array_sort(F.array_distinct(F.transform(parts, lambda x: F.pmod(F.crc32(x), F.lit(1 << META_BITS)).cast("int"))))
 
 
 @dataclass
@@ -107,6 +128,12 @@ class Logistic:
     def odds(self, rows: list[np.ndarray]) -> np.ndarray:
         return self.scale * self.raw(rows) + self.shift
 
+    def odds_of(self, column: pa.ListArray) -> np.ndarray:
+        """``odds`` of rows in an Arrow column without nulls."""
+        flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        owner = np.repeat(np.arange(len(column)), np.diff(ends))
+        return self.scale * (np.bincount(owner, self.weights[flat[ends[0] : ends[-1]]], len(column)) + self.constant) + self.shift
+
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
@@ -145,7 +172,7 @@ def calibration(odds: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     goal = np.where(labels > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     ab = np.array([0.0, np.log((n1 + 1) / (n0 + 1))])
     x = np.stack([odds, np.ones_like(odds)])
-    loss = lambda z: float(np.sum(np.logaddexp(0, z) - goal * z)) + 1e-3 * float(0)
+    loss = lambda z: float(np.sum(np.logaddexp(0, z) - goal * z))
     for _ in range(50):
         p = sigmoid(ab @ x)
         step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-6 * np.eye(2), x @ (goal - p))
@@ -160,41 +187,63 @@ def calibration(odds: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 @dataclass
 class Model:
-    """For each target, the classifiers of both views and how they combine; a target that could not be fitted is absent."""
+    """For each target, the classifiers of both views and how they combine; a target that could not be fitted is absent.
+
+    exchanged: how many pseudo-labels each round had, by target, taker and class.
+    """
 
     views: dict = field(default_factory=dict)
     prior: dict = field(default_factory=dict)
     last: dict = field(default_factory=dict)
+    exchanged: list = field(default_factory=list)
 
-    def view_odds(self, target: str, contents: list, metas: list) -> tuple[np.ndarray, np.ndarray]:
-        one, other = self.views[target]
-        return one.odds(contents), other.odds(metas)
-
-    def probability(self, target: str, contents: list, metas: list) -> np.ndarray:
+    def probability(self, target: str, content: pa.ListArray, meta: pa.ListArray) -> np.ndarray:
         if target not in self.views:
-            return np.zeros(len(contents))
-        one, other = self.view_odds(target, contents, metas)
-        scale, shift = self.last.get(target, (1.0, 0.0))
-        return sigmoid(scale * (one + other - self.prior[target]) + shift)
-
+            return np.zeros(len(content))
+        one, other = self.views[target]
+        scale, shift = self.last[target]
+        return sigmoid(scale * (one.odds_of(content) + other.odds_of(meta) - self.prior[target]) + shift)
 
-def _length(df: DataFrame) -> Column:
-    return F.coalesce(F.col("n_chars").cast("long"), F.length("text").cast("long"))
+    def edges(self, target: str) -> tuple[float, float]:
+        """Log-odds up to which class 0, and from which class 1 is held with confidence."""
+        share = float(sigmoid(self.prior[target]))
+        odds = lambda p: float(np.log(p / (1 - p)))
+        return odds(share / LIFT), odds(1 - (1 - share) / LIFT)
 
 
-def featured(docs: DataFrame) -> DataFrame:
-    """``doc_id, content, meta, key`` of ``docs``: feature numbers of both views, and their hash."""
+def _words():
+    """The column of content features of a column of texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("array<int>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo.only("cotraining", _features.clear)
-        for batch in slices(batches, "text"):
-            one = [content(x) for x in batch.column(1).to_pylist()]
-            other = [meta(*x) for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in x])]).astype(np.int32)), pa.array(np.concatenate(x), pa.int32())) for x in (one, other)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "content", "meta"])
-
-    found = docs.select(F.col("doc_id").cast("long"), "text", F.col("lang").cast("string"), F.col("source").cast("string"), _length(docs).alias("n_chars")).mapInArrow(run, "doc_id long, content array<int>, meta array<int>")
-    return found.withColumn("key", F.xxhash64("content", "meta"))
+        for batch in batches:
+            out = [pa.array([], pa.list_(pa.int32()))]
+            for part in slices([pa.RecordBatch.from_arrays([batch], names=["text"])], "text"):
+                rows = [content(x) for x in part.column(0).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows), pa.int32())))
+            yield pa.concat_arrays(out)
+
+    return found
+
+
+def featured(docs: DataFrame, pages: DataFrame | None, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """The ``columns`` of ``docs`` and four more, stored: document id, features of both views, and their hash; and the four names."""
+    names = fresh(docs.columns, "doc_id__", "content", "meta", "key", "lang__", "source__", "size__", "shown", "page")
+    own, words, meta_, key, lang, source, size, shown, page = names
+    n_chars = F.coalesce(F.col("n_chars").cast("long"), F.length("text").cast("long"))
+    rows = docs.withColumns({own: F.col("doc_id").cast("long"), lang: F.col("lang"), source: F.col("source"), size: n_chars, words: _words()(F.col("text").cast("string"))})
+    rows = rows.select(*columns, own, lang, source, size, words)
+    if pages is None:
+        rows = rows.withColumn(page, F.lit(None).cast("array<string>"))
+    else:
+        seen = page_views(pages).toDF(shown, page)
+        # rows without an id have no page, and must not meet in one task; the others are streamed past the pages
+        found = rows.where(F.col(own).isNotNull()).join(seen.hint("shuffle_hash"), F.col(own) == F.col(shown), "left").drop(shown)
+        rows = found.unionByName(rows.where(F.col(own).isNull()).withColumn(page, F.lit(None).cast("array<string>")))
+    out = rows.withColumn(meta_, meta(F.col(lang), F.col(source), F.col(size), F.col(page)))
+    return stored(out.select(*columns, own, words, meta_, F.xxhash64(words, meta_).alias(key)), "features"), names[:4]
 
 
 def _once(df: DataFrame, *by: str) -> DataFrame:
@@ -214,130 +263,145 @@ def _rows(df: DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out).sort_values("doc_id", kind="stable", ignore_index=True)
 
 
+VIEWS = (("content", CONTENT_BITS), ("meta", META_BITS))
+
+
+def _fitted(known: pd.DataFrame, labels: np.ndarray, pseudo: dict, target: str, name: str, bits: int) -> Logistic:
+    """A view's classifier from labelled rows and the pseudo-labelled ones that the other view gave it."""
+    rows = list(known[name])
+    if (more := pseudo.get((target, name))) is not None:
+        rows, labels = rows + list(more[name]), np.concatenate([labels, more["y"].to_numpy(dtype=float)])
+    return fit(rows, labels, bits, screen=name == "content")
+
+
 def _train(model: Model, known: pd.DataFrame, pseudo: dict, final: bool = False) -> None:
-    """Fit and calibrate both views of each target; a quarter of the labelled rows is held out for calibration.
+    """Fit and calibrate both views of each target on all but the first fold of the labelled rows, which calibrates them.
 
-    ``final``: the classifiers are then fitted again on all labelled rows and keep their calibration.
+    ``final``: every fold calibrates, with classifiers that have not seen it, and the views are then fitted on all labelled rows.
     """
-    held = known["fold"].to_numpy() == 0
+    fold = known["fold"].to_numpy()
     for target in TARGETS:
         y = known[target].to_numpy(dtype=float)
         ok = ~np.isnan(y)
-        train, test = known[ok & ~held], known[ok & held]
-        a, b = y[ok & ~held], y[ok & held]
-        if len(set(a)) < 2 or len(set(b)) < 2:
+        test, raws, views = [], [], []
+        for out in range(FOLDS if final else 1):
+            train, held = ok & (fold != out), ok & (fold == out)
+            if len(set(y[train])) < 2 or not held.any():
+                continue
+            views = [_fitted(known[train], y[train], pseudo, target, name, bits) for name, bits in VIEWS]
+            test.append(y[held])
+            raws.append([view.raw(list(known[held][name])) for view, (name, _) in zip(views, VIEWS)])
+        if not test or len(set(np.concatenate(test))) < 2:
             continue
-        views = []
-        for name, bits in (("content", CONTENT_BITS), ("meta", META_BITS)):
-            rows, labels = list(train[name]), a
-            if (more := pseudo.get((target, name))) is not None:
-                rows, labels = rows + list(more[name]), np.concatenate([a, more["y"].to_numpy(dtype=float)])
-            view = fit(rows, labels, bits, screen=name == "content")
-            view.scale, view.shift = calibration(view.raw(list(test[name])), b)
-            views.append(view)
-        model.views[target], share = tuple(views), (b.sum() + 1) / (len(b) + 2)
-        model.prior[target] = float(np.log(share / (1 - share)))
-        model.last.pop(target, None)
-        joint = sum(model.view_odds(target, list(test["content"]), list(test["meta"]))) - model.prior[target]
-        model.last[target] = calibration(joint, b)
+        b = np.concatenate(test)
         if final:
-            whole = []
-            for view, name, bits in zip(views, ("content", "meta"), (CONTENT_BITS, META_BITS)):
-                rows, labels = list(known[ok][name]), y[ok]
-                if (more := pseudo.get((target, name))) is not None:
-                    rows, labels = rows + list(more[name]), np.concatenate([labels, more["y"].to_numpy(dtype=float)])
-                again = fit(rows, labels, bits, screen=name == "content")
-                again.scale, again.shift = view.scale, view.shift
-                whole.append(again)
-            model.views[target] = tuple(whole)
+            views = [_fitted(known[ok], y[ok], pseudo, target, name, bits) for name, bits in VIEWS]
+        share = (b.sum() + 1) / (len(b) + 2)
+        joint = np.full(len(b), -float(np.log(share / (1 - share))))
+        for i, view in enumerate(views):
+            raw = np.concatenate([r[i] for r in raws])
+            view.scale, view.shift = calibration(raw, b)
+            joint += view.scale * raw + view.shift
+        model.views[target], model.prior[target], model.last[target] = tuple(views), float(np.log(share / (1 - share))), calibration(joint, b)
 
 
 def _confident(features: DataFrame, model: Model) -> DataFrame:
-    """``doc_id``, ``key`` and, for each target and view, the label of which the view is confident, else null."""
+    """``doc_id``, ``key`` and, for each target and view, the log-odds if the view is confident, else null."""
     own = features.sparkSession.sparkContext.broadcast(model)
-    names = [f"{t}_{v}" for t in TARGETS for v in ("content", "meta")]
+    names = [f"{t}_{v}" for t in TARGETS for v, _ in VIEWS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edge = float(np.log(CONFIDENT / (1 - CONFIDENT)))
+        model = own.value
         for batch in batches:
-            views = []
-            for i in (1, 2):
-                col = batch.column(i)
-                flat, ends = col.values.to_numpy(zero_copy_only=False), col.offsets.to_numpy()
-                views.append([flat[a:b] for a, b in zip(ends[:-1], ends[1:])])
             out = [batch.column(0), batch.column(3)]
             for t in TARGETS:
-                for odds in own.value.view_odds(t, *views) if t in own.value.views else [np.zeros(batch.num_rows)] * 2:
-                    out.append(pa.array(np.where(odds > edge, 1, 0), pa.int32(), mask=np.abs(odds) < edge))
+                for view, i in zip(model.views.get(t, (None, None)), (1, 2)):
+                    odds = view.odds_of(batch.column(i)) if view else np.zeros(batch.num_rows)
+                    low, high = model.edges(t) if view else (-1, 1)
+                    out.append(pa.array(odds, pa.float64(), mask=(odds > low) & (odds < high)))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "key", *names])
 
-    return features.mapInArrow(run, "doc_id long, key long, " + ", ".join(f"{n} int" for n in names))
+    return features.mapInArrow(run, "doc_id long, key long, " + ", ".join(f"{n} double" for n in names))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS) -> Model:
-    """Co-train on ``docs`` (doc_id, text, lang, source, n_chars) and ``labels`` (doc_id, quality, toxic)."""
-    prepare(docs.sparkSession)
+def _worst(labels: DataFrame) -> DataFrame:
+    """``doc_id, low, toxic``: a labelled document's worst labels."""
+    known = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)")
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.min("quality")).cast("int").alias("low"), F.max("toxic").cast("int").alias("toxic"))
+
+
+def train(features: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS) -> Model:
+    """Co-train on ``features`` (doc_id, content, meta, key) and ``labels`` (doc_id, quality, toxic)."""
     model = Model()
-    worst = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("low"), F.max("toxic").cast("int").alias("toxic"))
-    features = stored(featured(docs), "features")
-    worst = worst.join(features.select("doc_id").distinct(), "doc_id", "left_semi")
+    worst = _worst(labels).join(features.select("doc_id").distinct(), "doc_id", "left_semi")
     worst = stored(worst.withColumn("h", F.xxhash64("doc_id")), "labels")
     sample = worst.orderBy("h", "doc_id").limit(labelled)
-    known = features.join(F.broadcast(sample), "doc_id").select("doc_id", "key", "content", "meta", "low", "toxic", F.pmod(F.shiftright("h", 8), F.lit(4)).alias("fold"))
+    known = features.join(F.broadcast(sample), "doc_id").select("doc_id", "key", "content", "meta", "low", "toxic", F.pmod(F.shiftright("h", 8), F.lit(FOLDS)).alias("fold"))
     known = _rows(_once(known, "doc_id"))
     if not len(known):
+        dropped(worst)
         return model
     found: dict = {}
-    _train(model, known, found)
+    _train(model, known, found, final=not rounds)
     for i in range(rounds if model.views else 0):
         sure = _once(_confident(features.where("doc_id IS NOT NULL"), model), "doc_id")
         sure = stored(sure.join(worst.select("doc_id"), "doc_id", "left_anti"), "confident")
         parts = []
-        for t in TARGETS:
+        for t in model.views:
             for giver, taker in (("content", "meta"), ("meta", "content")):
-                for y in (0, 1):
-                    share = sigmoid(model.prior[t]) if t in model.prior else 0.5
+                odds = F.col(f"{t}_{giver}")
+                low, high = model.edges(t)
+                for y, ok, order in ((0, odds <= low, odds.asc()), (1, odds >= high, odds.desc())):
+                    share = float(sigmoid(model.prior[t]))
                     most = max(1, round(pseudo * (share if y else 1 - share)))
-                    parts.append(sure.where(F.col(f"{t}_{giver}") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "key", F.lit(t).alias("target"), F.lit(taker).alias("taker"), F.lit(y).alias("y")))
+                    parts.append(sure.where(ok).orderBy(order, F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "key", F.lit(t).alias("target"), F.lit(taker).alias("taker"), F.lit(y).alias("y")))
         chosen = parts[0]
         for p in parts[1:]:
             chosen = chosen.unionByName(p)
         new = features.join(F.broadcast(chosen), ["doc_id", "key"]).select("doc_id", "content", "meta", "target", "taker", "y")
         new = _rows(_once(new, "doc_id", "target", "taker", "y"))
         dropped(sure)
+        found = {}
         for (t, taker), rows in new.groupby(["target", "taker"]) if len(new) else ():
             found[t, taker] = rows
+        model.exchanged.append({(t, taker, y): int((rows["y"] == y).sum()) for (t, taker), rows in found.items() for y in (0, 1)})
         _train(model, known, found, final=i == rounds - 1)
-    dropped(features, worst)
+    dropped(worst)
     return model
 
 
-def scores(docs: DataFrame, model: Model) -> Column:
-    """A column of ``docs``: struct of p_low and p_toxic."""
-    own = docs.sparkSession.sparkContext.broadcast(model)
+def _scored(rows: DataFrame, names: list[str], model: Model, out: str) -> DataFrame:
+    """``rows`` with a column ``out``: struct of p_low and p_toxic."""
+    own = rows.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("p_low double, p_toxic double")
-    def score(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("p_low double, p_toxic double")
+    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         memo.only("cotraining", _features.clear)
-        for text, lang, source, n_chars in parts:
-            one = [content(x) for x in text]
-            sizes = [None if n < 0 else int(n) for n in n_chars]
-            other = [meta(*x) for x in zip(lang, source, sizes)]
-            yield pd.DataFrame({f"p_{t}": own.value.probability(t, one, other) for t in TARGETS})
+        for one, other in batches:
+            yield pa.StructArray.from_arrays([pa.array(own.value.probability(t, one, other), pa.float64()) for t in TARGETS], names=["p_low", "p_toxic"])
+
+    return rows.withColumn(out, score(F.col(names[1]), F.col(names[2])))
+
 
-    return score(F.col("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.coalesce(_length(docs), F.lit(-1)))
+def _keep(p: str) -> Column:
+    return (F.col(f"`{p}`.p_low") < 0.5) & (F.col(f"`{p}`.p_toxic") < 0.5)
+
+
+def trained(docs: DataFrame, labels: DataFrame, pages: DataFrame | None, columns: list[str], **args) -> tuple[DataFrame, list[str], Model]:
+    """The stored features beside ``columns`` of ``docs``, their names, and the model."""
+    prepare(docs.sparkSession)
+    rows, names = featured(docs, pages, columns)
+    return rows, names, train(rows.select(*(F.col(n).alias(x) for n, x in zip(names, ("doc_id", "content", "meta", "key")))), labels, **args)
 
 
-def classified(docs: DataFrame, labels: DataFrame, **args) -> DataFrame:
+def classified(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, **args) -> DataFrame:
     """``doc_id, p_low, p_toxic, keep`` of every document."""
-    model = train(docs, labels, **args)
-    out = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("p", scores(docs, model))
-    return out.select("doc_id", "p.p_low", "p.p_toxic", ((F.col("p.p_low") < 0.5) & (F.col("p.p_toxic") < 0.5)).alias("keep"))
+    rows, names, model = trained(docs, labels, pages, [], **args)
+    return _scored(rows, names, model, "p").select(F.col(names[0]).alias("doc_id"), "p.p_low", "p.p_toxic", _keep("p").alias("keep"))
 
 
-def kept(docs: DataFrame, labels: DataFrame, **args) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, **args) -> DataFrame:
     """The documents, with all their columns, that are not rejected."""
-    model = train(docs, labels, **args)
-    name = "__p"
-    out = docs.withColumn(name, scores(docs, model))
-    return out.where((F.col(f"{name}.p_low") < 0.5) & (F.col(f"{name}.p_toxic") < 0.5)).select(*docs.columns)
+    rows, names, model = trained(docs, labels, pages, docs.columns, **args)
+    (p,) = fresh([*docs.columns, *names], "p")
+    return _scored(rows, names, model, p).where(_keep(p)).select(*docs.columns)

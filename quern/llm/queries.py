@@ -17,7 +17,7 @@ RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 
 
 def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cotraining.classified(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return cotraining.classified(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), _read(spark, sf_dir, "pages"))
 
 
 def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

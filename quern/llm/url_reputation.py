@@ -39,6 +39,12 @@ def path_of(url: str | Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
 
 
+def shown_document(url: str | Column) -> Column:
+    """The id of the document that a page shows, by its url; null without one."""
+    number = F.regexp_extract(path_of(url), NUMBER, 1)
+    return F.when(number != "", number).cast("long")
+
+
 def suffix_sql(host: str) -> str:
     """Last label of a host without user and port, or last two where these are a known suffix."""
     bare = f"regexp_replace(regexp_replace({host}, '^.*@', ''), ':[0-9]*$', '')"
@@ -88,7 +94,7 @@ def rule_column(host: Column, path: Column, rules: list[tuple[str, str]], pick:
 def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """``host, n, bad`` of every host: labelled pages and how many of them are bad."""
     worst = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)").groupBy(F.col("doc_id").alias("shown")).agg(F.max(F.expr("CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END")).alias("is_bad"))
-    seen = pages.select(host_of("url").alias("host"), F.expr("try_cast(nullif(regexp_extract(path, '" + NUMBER.replace("\\", "\\\\") + "', 1), '') AS bigint)").alias("shown"))
+    seen = pages.select(host_of("url").alias("host"), shown_document("url").alias("shown"))
     # many pages of a host may show one document; hosts are counted before and after the join
     counted = seen.groupBy("host", "shown").agg(F.count(F.lit(1)).alias("pages"))
     return counted.join(worst, "shown", "left").groupBy("host").agg(F.sum(F.when(F.col("is_bad").isNotNull(), F.col("pages")).otherwise(0)).alias("n"), F.sum(F.coalesce(F.col("is_bad") * F.col("pages"), F.lit(0))).alias("bad"))
