@@ -40,7 +40,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = secrets.scan(_read(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["name"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["name"].isin(*secrets.BASE))
-    return got.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+    return got.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: s["credential"].cast("string")), ",").alias("credentials"))
 
 
 def op6_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +143,8 @@ def _secrets_sql() -> str:
     found = " UNION ALL ".join(f"SELECT doc_id, {i} AS kind, regexp_extract_all(text, {quoted(p)}) AS m, string_split_regex(text, {quoted(p)}) AS p FROM documents WHERE regexp_matches(text, {quoted(p)})" for i, p in enumerate(s.KINDS.values()))
     number = {k: i for i, k in enumerate(s.KINDS)}
     ok = " AND ".join(f"(kind <> {number[k]} OR length({f'regexp_replace(m, {quoted("^" + before)}, {quoted("")})' if before else 'm'}) >= {least})" for k, (least, before) in s.LEAST.items())
-    near = ", ".join(f"max(CASE WHEN kind = {i} THEN 1 ELSE 0 END) OVER w AS has_{k}" for k, i in number.items())
+    before = ", ".join(f"max(CASE WHEN kind = {number[k]} THEN ends END) OVER b AS end_{k}, min(CASE WHEN kind = {number[k]} THEN start END) OVER a AS start_{k}" for k in s.PARTS)
+    has = {k: f"(coalesce(end_{k} >= start - {s.SCOPE}, false) OR coalesce(start_{k} <= ends + {s.SCOPE}, false))" for k in s.PARTS}
     name = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for k, i in number.items()) + " END"
     joined = lambda test: f"coalesce(string_agg({name} || ':' || start || ':' || ends, ',' ORDER BY start, kind) FILTER ({test}), '')"
     counts = ", ".join(f"count(*) FILTER (kind = {number[k]}) AS n_{k}" for k in s.BASE)
@@ -152,12 +153,14 @@ WITH f AS ({found}),
 e AS (SELECT doc_id, kind, unnest(m) AS m, unnest(p[1:len(m)]) AS p, generate_subscripts(m, 1) AS i FROM f),
 a AS (SELECT *, CAST(sum(length(p) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS ends FROM e),
 c AS (SELECT doc_id, kind, ends - length(m) AS start, ends FROM a WHERE {ok}),
-n AS (SELECT *, {near} FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN {s.SCOPE} PRECEDING AND {s.SCOPE} FOLLOWING)),
-k AS (SELECT doc_id, kind, start, ends FROM n WHERE kind < {len(s.BASE)}
-  OR kind = {number['weak_secret']} AND (has_access = 1 OR has_weak_id = 1 AND has_endpoint = 1)
-  OR kind = {number['weak_id']} AND (has_assign = 1 OR has_weak_secret = 1 AND has_endpoint = 1)
-  OR kind = {number['endpoint']} AND (has_access = 1 OR has_weak_id = 1) AND (has_assign = 1 OR has_weak_secret = 1))
-SELECT doc_id, {counts}, sha256({joined(f'kind < {len(s.BASE)}')}) AS base_sha256, {joined('kind IS NOT NULL')} AS spans
+n AS (SELECT *, {before} FROM c WINDOW b AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+q AS (SELECT doc_id, kind, start, ends FROM n WHERE kind < {len(s.BASE)}
+  OR kind = {number['weak_secret']} AND ({has['access']} OR {has['weak_id']} AND {has['endpoint']})
+  OR kind = {number['weak_id']} AND ({has['assign']} OR {has['weak_secret']} AND {has['endpoint']})
+  OR kind = {number['endpoint']} AND ({has['access']} OR {has['weak_id']}) AND ({has['assign']} OR {has['weak_secret']})),
+g AS (SELECT *, CAST(coalesce(start > max(ends) OVER (PARTITION BY doc_id ORDER BY start, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {s.SCOPE}, false) AS INTEGER) AS apart FROM q),
+k AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id ORDER BY start, kind ROWS UNBOUNDED PRECEDING) AS credential FROM g)
+SELECT doc_id, {counts}, sha256({joined(f'kind < {len(s.BASE)}')}) AS base_sha256, {joined('kind IS NOT NULL')} AS spans, coalesce(string_agg(CAST(credential AS VARCHAR), ',' ORDER BY start, kind) FILTER (kind IS NOT NULL), '') AS credentials
 FROM documents LEFT JOIN k USING (doc_id) GROUP BY doc_id"""
 
 

@@ -22,7 +22,7 @@ ODD = [
 def test_base_spans(spark, odd_docs, real_docs):
     odd = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").selectExpr("*", "1 AS found", "2 AS spans", "3 AS start")
     for docs in (odd, odd_docs, real_docs):
-        got = sorted((r.doc_id if r.doc_id is not None else -1, [tuple(s) for s in r.spans if s["name"] in secrets.BASE]) for r in secrets.scan(docs).collect())
+        got = sorted((r.doc_id if r.doc_id is not None else -1, [tuple(s)[:4] for s in r.spans if s["name"] in secrets.BASE]) for r in secrets.scan(docs).collect())
         assert got == sorted((r.doc_id if r.doc_id is not None else -1, base(r.text or "")) for r in docs.collect())
 
 
@@ -35,6 +35,12 @@ def test_weak_candidates_need_their_parts(spark):
     assert names(spark, weak) == []
     assert names(spark, f"{access} and {weak}") == ["access", "weak_secret"]
     assert names(spark, f"{access}{' .' * 200}{weak}") == ["access"]
+    # scope is the gap between the parts: a long part does not hide its neighbours, on either side
+    token = "token=" + "x" * 2000
+    assert names(spark, f"{token} user=bob") == ["assign", "weak_id"] == names(spark, f"{token}{' ' * 256}user=bob")
+    assert names(spark, f"{token}{' ' * 257}user=bob") == ["assign"]
+    assert names(spark, f"user=bob{' ' * 256}{token}") == ["weak_id", "assign"]
+    assert names(spark, f"user=bob{' ' * 257}{token}") == ["assign"]
     assert names(spark, "username=bob pwd=hunter2") == []
     assert names(spark, "username=bob pwd=hunter2 at https://db.example.org") == ["weak_id", "weak_secret", "endpoint"]
     assert names(spark, "see https://db.example.org") == []
@@ -45,7 +51,7 @@ def test_long_runs_take_linear_time(spark):
     texts = ["a" * 300_000, "a." * 150_000, "token " * 50_000, "AKIA" * 70_000, "http:" * 60_000, "a=" * 150_000, "0f" * 150_000, "user " * 60_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     start = time.time()
-    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan(df).collect()}
+    got = {r.doc_id: [tuple(s)[:4] for s in r.spans] for r in secrets.scan(df).collect()}
     assert time.time() - start < 60
     assert got[6] == got[0] == [(0, 2, 300_000, "hex")] and got[2] == []
 
@@ -58,3 +64,21 @@ def test_redaction(spark, odd_docs):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, "a [SECRET] b"), (2, "plain"), (3, "é [SECRET] x [SECRET]"), (4, None), (5, "token=short"), (6, "[SECRET]"), (1, "a [SECRET] b")], key=str)
     assert secrets.scan(df.limit(0)).count() == 0 == secrets.redacted(df.limit(0)).count()
     assert secrets.redacted(odd_docs).count() == odd_docs.count()
+
+
+def test_credentials_are_numbered(spark):
+    one = "user=bob token=abcdefghijklmnop at https://db.example.org"
+    gap = " ." * 200
+    df = spark.createDataFrame([(1, f"{one}{gap}{one}{gap}0123456789abcdef"), (2, None), (2, "AKIA")], "doc_id long, text string")
+    got = [[(s["name"], s["credential"]) for s in r.spans] for r in secrets.scan(df).orderBy("doc_id").collect()]
+    assert got == [[(n, i) for i in (0, 1) for n in ("weak_id", "assign", "endpoint")] + [("hex", 2)], [], []]
+
+
+def test_clashing_columns_come_back(spark):
+    names = ["__found", "__row", "__cuts", "found", "ROW", "cuts", "kind", "start", "end", "assign", "access", "hex", "weak_id", "pos", "a.b"]
+    rows = [(i, t, *(f"{n}{i}" for n in names)) for i, t in enumerate(["token=abcdefghijklmnop", None, "plain", "token=abcdefghijklmnop", "token=short"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = secrets.redacted(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(((r[0], "[SECRET]" if r[0] in (0, 3) else r[1], *r[2:]) for r in rows), key=str)
+    assert sorted(len(r.spans) for r in secrets.scan(df).collect()) == [0, 0, 0, 1, 1]
