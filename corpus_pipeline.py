@@ -6,7 +6,10 @@
 4. secret_scan: secrets in the texts are replaced by a mark;
 5. byte_bpe: texts become token ids, decoded again as proof.
 
-All but the last return the columns of documents. The first stage is a trained model, so SQL cannot express
+All but the last return the columns of documents. Null and empty texts pass all stages (they have no words, hits, secrets or
+ids), rows with null ids are rows like any other, null columns are values, very long texts count whole, repeated rows and rows of equal words are one
+class of which one row stays, ties go to the least id, then the least text, extra columns come back as they were from every
+stage but the last whatever their names, and an empty table gives an empty one. The first stage is a trained model, so SQL cannot express
 the rows of ``run``; tests hold each stage against brute force.
 """
 
@@ -21,7 +24,7 @@ from quern.plans.shared import stored
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return cotraining.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return cotraining.kept(docs, *(spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in ("labels", "pages")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
