@@ -47,7 +47,7 @@ def op6_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, nodes = run_index.removed(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     gone = F.aggregate(F.transform("spans", lambda s: (s["end"] - s["start"]).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     found = nodes.select("node", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    return rows.select("doc_id", F.col("__node").alias("node")).join(found, "node").drop("node")
+    return rows.select("doc_id", "node").join(found, "node").drop("node")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,8 @@ keyed by its own hash. So no key gathers an unbounded block, and no string is le
 Texts are shuffled once, to join equal ones. Later passes read the joined table and, beside it, small files of
 positions in the same order.
 
-Defined results: a null text is empty; texts shorter than ``LENGTH`` lose nothing; rows are matched across ids, so a
-repeated row is a copy like any other and loses all of its strings; null ids and other columns do not matter; an empty
+Defined results: a null text is empty; texts shorter than ``LENGTH`` lose nothing; long texts are matched whole; rows are matched across ids, so a
+repeated row, or one that ties in its text, is a copy like any other and loses all of its strings; null ids and other columns, whatever their names, do not matter; an empty
 table gives no rows.
 """
 
@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.plans.arrow import slices
-from quern.plans.shared import dropped, new_path, prepare, remove, stored
+from quern.plans.names import fresh
+from quern.plans.shared import dropped, filesystem, new_path, prepare, remove, stored
 
 LENGTH, GRAM = 200, 32
 #: Strings of one segment at most, different segments of a key before its strings are counted one by one, symbols of one index (about HOT segments).
@@ -92,6 +93,20 @@ def least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - m)], h[width - m :]) if width > m else h
 
 
+def ends_of_least(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of the least value (by its high 40 bits) of each ``width`` values in a row."""
+    n = max(0, len(h) - width + 1)
+    first, final, low = np.zeros(n, np.int64), np.zeros(n, np.int64), np.uint64(PLACES - 1)
+    step = PLACES - width
+    for a in range(0, n, step):
+        # places within a part fit the low bits
+        part = h[a : a + step + width - 1]
+        place, high = np.arange(len(part), dtype=np.uint64), part & ~low
+        first[a : a + step] = (least(high | place, width) & low).astype(np.int64) + a
+        final[a : a + step] = (low - (least(high | (low - place), width) & low)).astype(np.int64) + a
+    return first, final
+
+
 def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """``text, start, strings, key, inside`` of each segment of texts that lie one after another in ``data``.
 
@@ -100,15 +115,8 @@ def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
     if len(data) < length:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, bool))
     h, width = hashes(data, gram), length - gram + 1
-    if len(h) <= PLACES:
-        # the least hash (by 40 bits) with its first place, and with its last
-        place = np.arange(len(h), dtype=np.uint64)
-        high, low = h & ~np.uint64(PLACES - 1), np.uint64(PLACES - 1)
-        first = least(high | place, width) & low
-        final = low - (least(high | (low - place), width) & low)
-        value = h[first.astype(np.int64)]
-    else:
-        value = least(h, width)
+    first, final = ends_of_least(h, width)
+    value = h[first]
     ok = np.zeros(len(value), bool)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         if b - a >= length:
@@ -123,7 +131,7 @@ def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int =
         strings = np.minimum(STRINGS, np.repeat(strings, parts) - n * STRINGS)
         starts = np.repeat(starts, parts) + n * STRINGS
     text = np.searchsorted(at, starts, side="right") - 1
-    inside = first[starts] != final[starts + strings - 1] if len(h) <= PLACES else np.ones(len(starts), bool)
+    inside = first[starts] != final[starts + strings - 1]
     return text, starts - at[text], strings, value[starts], inside
 
 
@@ -164,7 +172,10 @@ def suffix_array(key: np.ndarray) -> np.ndarray:
 
 
 def run_index(t: np.ndarray, key: np.ndarray) -> dict[str, np.ndarray]:
-    """The run-compressed BWT of ``t`` (``key``: packed): symbol and first place of each run, and the suffix array at both ends of runs and next to them."""
+    """The run-compressed BWT of ``t`` (``key``: packed): the first place of each run, and the suffix array at both ends of runs and next to them.
+
+    Matching statistics of a text against itself need the runs' ends alone: between them they shrink by one from place to place.
+    """
     sa = suffix_array(key)
     bwt = t[sa - 1]  # the first suffix's predecessor is the last symbol
     first = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
@@ -173,7 +184,7 @@ def run_index(t: np.ndarray, key: np.ndarray) -> dict[str, np.ndarray]:
     whole = int(np.flatnonzero(sa == 0)[0])
     first = np.union1d(first, [whole, *([whole + 1] if whole + 1 < len(t) else [])])
     last = np.union1d(last, [whole, *([whole - 1] if whole else [])])
-    return {"symbol": bwt[first], "first": first, "first_sa": sa[first], "before_sa": sa[first - 1], "last_sa": sa[last], "after_sa": sa[(last + 1) % len(t)]}
+    return {"first": first, "first_sa": sa[first], "before_sa": sa[first - 1], "last_sa": sa[last], "after_sa": sa[(last + 1) % len(t)]}
 
 
 def common(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -238,7 +249,7 @@ def block_marks(texts: list[bytes], copies: list[int], length: int = LENGTH) ->
 
 def _beside(path: str, part: int, columns: list[str]) -> dict[str, np.ndarray]:
     """The files of positions that belong to a part of the joined table, ordered by id."""
-    system, folder = fs.FileSystem.from_uri(f"{path}/part={part}")
+    system, folder = filesystem(f"{path}/part={part}")
     names = [x.path for x in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if x.path.endswith(".parquet")]
     tables = [pq.read_table(n, columns=columns, filesystem=system, partitioning=None) for n in names]
     if not tables:
@@ -384,15 +395,16 @@ def _kept(texts: DataFrame, path: str) -> DataFrame:
 
 
 def removed(df: DataFrame, text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """``df`` with a column ``__node`` that names its text, and for each node ``node, n_bytes, spans, kept``.
+    """``df`` with one more column that names its text, and for each name ``n_bytes, spans, kept``, the name first.
 
-    spans: maximal runs of removed bytes, in order; kept: the bytes that remain.
+    The column of names is ``node``, or a longer name if ``df`` has that; spans: maximal runs of removed bytes, in order; kept: the bytes that remain.
     """
     spark = df.sparkSession
     prepare(spark)
-    node = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    rows = df.withColumn("__node", node)
-    joined = rows.select(F.col("__node").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).groupBy("node").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    (name,) = fresh([*df.columns, "n_bytes", "spans", "kept"], "node")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = df.withColumn(name, F.unhex(F.md5(text.cast("binary"))))
+    joined = rows.select(F.col(name).alias("node"), text.alias("text")).groupBy("node").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     texts = stored(joined.select(F.monotonically_increasing_id().alias("id"), "node", F.least("copies", F.lit(2)).cast("int").alias("copies"), "text"), "texts")
     keys = stored(_keys(texts), "keys")
     by_sign = keys.groupBy("key", "sign").agg(F.sum("copies").alias("n"), F.max("inside").alias("inside"))
@@ -416,4 +428,4 @@ def removed(df: DataFrame, text_col: str = "text", hot: int = HOT) -> tuple[Data
     dropped(again, *pieces)
     for path in paths:
         remove(spark, path)
-    return rows, _kept(texts, beside)
+    return rows, _kept(texts, beside).withColumnRenamed("node", name)

@@ -25,7 +25,7 @@ def brute(texts, length=200):
 
 def got(df, **args):
     rows, nodes = r.removed(df, **args)
-    out = rows.join(nodes, rows["__node"] == nodes["node"]).select("doc_id", "n_bytes", "spans", "kept").collect()
+    out = rows.join(nodes, nodes.columns[0]).select("doc_id", "n_bytes", "spans", "kept").collect()
     return [(x.doc_id, (x.n_bytes, sum(s.end - s.start for s in x.spans), len(x.spans), hashlib.sha256(bytes(x.kept)).hexdigest())) for x in out]
 
 
@@ -54,6 +54,18 @@ def test_hashes_and_minima():
     assert r.least(h, 169).tolist() == [h[i : i + 169].min() for i in range(len(h) - 168)]
 
 
+def test_one_rule_for_keys(monkeypatch):
+    """Parts of a long text give the same least hashes as the whole."""
+    h = np.random.default_rng(4).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    h[::3] = h[0]  # with ties
+    whole = r.ends_of_least(h, 169)
+    monkeypatch.setattr(r, "PLACES", 1 << 9)
+    parts = r.ends_of_least(h & ~np.uint64((1 << 24) - 1), 169)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+    assert len(whole[0]) == len(h) - 168 and (whole[0] <= whole[1]).all()
+    assert [x.tolist() for x in r.ends_of_least(h[:100], 169)] == [[], []]
+
+
 def cases():
     rnd = random.Random(6)
     word = lambda n: "".join(rnd.choice("abcdefghij é") for _ in range(n))
@@ -95,3 +107,13 @@ def test_odd_rows(odd_docs):
     rows = odd_docs.collect()
     assert sorted(got(odd_docs), key=str) == sorted(zip([x.doc_id for x in rows], brute([x.text for x in rows])), key=str)
     assert got(odd_docs.limit(0)) == []
+
+
+def test_clashing_columns_come_back(spark):
+    names = ["__node", "node", "NODE_", "n_bytes_", "id", "copies", "part"]
+    rows = [(i, t, *(f"{n}{i}" for n in names)) for i, t in enumerate(["x" * 300, None, "x" * 300, "y"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out, nodes = r.removed(df)
+    assert out.columns[:-1] == df.columns and nodes.columns == [out.columns[-1], "n_bytes", "spans", "kept"]
+    assert sorted(map(tuple, out.select(*df.columns).collect())) == rows
+    assert sorted(got(df))[1:] == [(1, brute([None])[0]), (2, (300, 300, 1, hashlib.sha256().hexdigest())), (3, brute(["y"])[0])]
