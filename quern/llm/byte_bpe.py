@@ -4,7 +4,7 @@ Every byte becomes one character, so a token's bytes become a piece; its score i
 rank, normalisation is the identity. Each match of the split pattern is encoded by itself, which
 gives the merges of the rank file in rank order. Decoding maps ids back to bytes.
 
-Defined results: a null text encodes as an empty one (no ids, empty bytes); a null id list
+Defined results: a null text encodes as an empty one (no ids, empty bytes); long texts are encoded whole; a null id list
 decodes to empty bytes; rows are independent, so ties and repeated rows need no rule; columns
 other than the id and text columns are ignored; an empty table gives an empty table.
 """

@@ -5,12 +5,12 @@ integers (16 bits where the vocabulary allows, else 32, little-endian); ``.idx``
 documents in it (one more than documents); ``.doc``, 64-bit document ids. ``manifest.json`` lists the
 shards in document order, each with its base: the number of ids before it, a prefix sum.
 
-Each task writes a shard under a name of its own and reports it; only reported shards enter the
+Each task writes shards of about ``SHARD`` bytes under names of its own and reports them; only reported shards enter the
 manifest, so retried and lost tasks leave nothing that is read. Shards are written by range of
 document id and hold whole documents.
 
-Defined results: null and empty texts have the end id only; null document ids come first; rows with equal ids
-follow each other by text; other columns are ignored; an empty table gives a manifest
+Defined results: null and empty texts have the end id only; long texts are encoded whole; null document ids come first; rows with equal ids
+follow each other by text, and rows that tie in both each have their ids; other columns, whatever their names, are ignored; an empty table gives a manifest
 without shards. Ids are cached by run of characters between spaces, tabs and line ends: the tokenizer must drop white
 space and split there, which ``check_splits`` proves from its file.
 """
@@ -34,6 +34,8 @@ from quern.plans import memo
 from quern.plans.arrow import slices
 from quern.plans.shared import filesystem, new_path, prepare
 
+#: Bytes of ids, about, after which a task begins another shard: what it holds of a shard does not grow with the table.
+SHARD = 256 << 20
 #: Runs of characters that a worker keeps, some 200 bytes each; more only cost time.
 CACHE_ENTRIES = 1_000_000
 #: Runs of ASCII that the tokenizer splits into these pieces, as its own pattern does once they are in lower case.
@@ -50,7 +52,8 @@ def check_splits(tokenizer: str) -> bool:
     known = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " " for x in norm)
     split = bool(pre) and pre[0]["type"] == "Split" and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and pre[0]["pattern"] == {"Regex": PATTERN}
     bytewise = len(pre) == 2 and pre[1]["type"] == "ByteLevel" and not pre[1]["add_prefix_space"]
-    plain = all(not (a["lstrip"] or a["rstrip"] or a["single_word"]) and not set(a["content"]) & set(" \t\n\r") for a in spec["added_tokens"])
+    # special tokens begin with a mark that no run without it can hold
+    plain = all(a["content"].startswith("<") and not (a["lstrip"] or a["rstrip"] or a["single_word"]) and not set(a["content"]) & set(" \t\n\r") for a in spec["added_tokens"])
     return known and split and bytewise and plain and not spec["truncation"] and not spec["padding"] and not spec["post_processor"]
 
 
@@ -118,32 +121,40 @@ def write(df: DataFrame, tokenizer: str, end_id: int, path: str | None = None, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo.only("token_files", _encoders.clear)
-        own, files, docs, lengths, nulls = encoder(spec.value), None, [], [], 0
-        end, task = np.array([end_id], dtype=own.dtype).tobytes(), TaskContext.get()
+        own, task, shards, files = encoder(spec.value), TaskContext.get(), [], None
+        end = np.array([end_id], dtype=own.dtype).tobytes()
+        system, folder = filesystem(path)
+
+        def close() -> None:
+            files.close()
+            shard = shards[-1]
+            offsets = np.concatenate([[0], np.cumsum(shard["lengths"])]).astype("<i8")
+            for ext, data in (("idx", offsets), ("doc", np.array(shard["ids"], dtype="<i8"))):
+                with system.open_output_stream(f"{folder}/{shard['name']}.{ext}") as f:
+                    f.write(data.tobytes())
+            shards[-1] = {"part": task.partitionId(), "seq": len(shards), "name": shard["name"], "docs": len(offsets) - 1, "ids": int(offsets[-1]), "nulls": shard["nulls"], "dtype": own.dtype.str}
+
         for batch in slices(batches, text_col):
-            if files is None:
-                system, folder = filesystem(path)
-                system.create_dir(folder, recursive=True)
-                name = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}"
-                files = system.open_output_stream(f"{name}.bin")
-            ids = batch.column(0)
-            nulls += ids.null_count
-            docs.append(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
-            for text in batch.column(1).to_pylist():
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if files is None or size > SHARD:
+                    if files is not None:
+                        close()
+                    system.create_dir(folder, recursive=True)
+                    shards.append({"name": f"shard-{task.partitionId():06d}-{task.taskAttemptId()}-{len(shards):04d}", "lengths": [], "ids": [], "nulls": 0})
+                    files, size = system.open_output_stream(f"{folder}/{shards[-1]['name']}.bin"), 0
                 data = own.encode(text) + end
                 files.write(data)
-                lengths.append(len(data) // own.dtype.itemsize)
+                size += len(data)
+                shards[-1]["lengths"].append(len(data) // own.dtype.itemsize)
+                shards[-1]["ids"].append(doc or 0)
+                shards[-1]["nulls"] += doc is None
         if files is not None:
-            files.close()
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
-            for ext, data in (("idx", offsets), ("doc", np.concatenate(docs))):
-                with system.open_output_stream(f"{name}.{ext}") as f:
-                    f.write(data.tobytes())
-            row = {"part": task.partitionId(), "name": name.rpartition("/")[2], "docs": len(lengths), "ids": int(offsets[-1]), "nulls": nulls, "dtype": own.dtype.str}
-            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int64()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("nulls", pa.int64()), ("dtype", pa.string())]))
+            close()
+            kinds = [("part", pa.int64()), ("seq", pa.int64()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("nulls", pa.int64()), ("dtype", pa.string())]
+            yield pa.RecordBatch.from_pylist(shards, schema=pa.schema(kinds))
 
     ordered = df.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
-    shards = sorted(ordered.mapInArrow(run, "part long, name string, docs long, ids long, nulls long, dtype string").collect(), key=lambda r: r.part)
+    shards = sorted(ordered.mapInArrow(run, "part long, seq long, name string, docs long, ids long, nulls long, dtype string").collect(), key=lambda r: (r.part, r.seq))
     listed, base = [], 0
     for r in shards:
         listed.append({"name": r.name, "base": base, "docs": r.docs, "ids": r.ids, "nulls": r.nulls, "dtype": r.dtype})

@@ -35,3 +35,23 @@ def test_runs_between_spaces_are_enough():
 def test_empty_table(spark, odd_docs):
     path = token_files.write(odd_docs.limit(0), PATH, end_id=1)
     assert token_files.read(spark, path).count() == 0
+
+
+def test_shards_roll_over_by_size(spark, real_docs, odd_docs, monkeypatch):
+    whole = sorted(map(tuple, token_files.read(spark, token_files.write(real_docs, PATH, end_id=1), ids=False).collect()))
+    monkeypatch.setattr(token_files, "SHARD", 5000)
+    path = token_files.write(real_docs, PATH, end_id=1)
+    system, folder = token_files.filesystem(path)
+    with system.open_input_file(f"{folder}/manifest.json") as f:
+        shards = token_files.json.loads(f.read())["shards"]
+    assert len(shards) > 20 and sum(s["docs"] for s in shards) == len(whole)
+    assert sorted(map(tuple, token_files.read(spark, path, ids=False).collect())) == whole
+    odd = token_files.read(spark, token_files.write(odd_docs, PATH, end_id=1), ids=False)
+    assert odd.count() == odd_docs.count()
+
+
+def test_special_tokens_must_be_marked():
+    with open(PATH, encoding="utf-8") as f:
+        spec = token_files.json.load(f)
+    spec["added_tokens"].append(dict(spec["added_tokens"][0], id=60_000, content="end"))
+    assert not token_files.check_splits(token_files.json.dumps(spec))
