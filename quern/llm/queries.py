@@ -118,7 +118,7 @@ d2 AS (SELECT domain, {shrunk} AS m FROM d1, k2),
 h1 AS (SELECT h.host, CAST(n AS DOUBLE) AS n, CAST(bad AS DOUBLE) AS bad, m FROM h JOIN d2 USING (domain)), {level('k3', 'h1')},
 h2 AS (SELECT host, bad + k * m + 1e-6 AS a, n - bad + k * (1 - m) + 1e-6 AS b FROM h1, k3),
 h3 AS (SELECT host, {u.lower_bound_sql('a', 'b')} AS bound FROM h2)
-SELECT page_id, host, path, {rules} AS rule, coalesce({actions}, CASE WHEN bound > {u.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, n AS host_labelled, bad AS host_bad
+SELECT page_id, host, path, {rules} AS rule, coalesce({actions}, CASE WHEN bound > {u.LIFT} * CASE WHEN (SELECT sum(n) FROM h) > 0 THEN (SELECT m FROM g) ELSE 1 END THEN 'block' ELSE 'allow' END) AS verdict, n AS host_labelled, bad AS host_bad
 FROM p JOIN h USING (host) JOIN h3 USING (host)"""
 
 
