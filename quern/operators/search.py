@@ -14,6 +14,8 @@ from quern.functions import text as T
 from quern.operators.index import Index, document_frequencies
 
 TOP, SUGGESTIONS, BONUS = 10, 20, 5.0
+#: Different keywords that are broadcast at most, some 30 bytes each; more meet the postings by shuffle.
+FEW_TERMS = 200_000
 
 
 def idf(size: Column, df: Column) -> Column:
@@ -31,6 +33,13 @@ def keywords(queries: DataFrame, strict: bool = False) -> DataFrame:
     return queries.select("qid", F.posexplode(T.query_terms(F.col("query"), strict)).alias("qpos", "term"))
 
 
+def held(postings: DataFrame, words: DataFrame) -> DataFrame:
+    """The postings of the keywords, before anything is shuffled."""
+    terms = words.select("term").distinct()
+    few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    return postings.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+
+
 def scored(postings: DataFrame, words: DataFrame, size: int, dfs: DataFrame | None = None) -> DataFrame:
     """``qid, doc_id, score, place`` of every document that holds a keyword; place is the score to six places, which ranks."""
     wanted = words.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
@@ -50,7 +59,8 @@ def scored(postings: DataFrame, words: DataFrame, size: int, dfs: DataFrame | No
 def batch_search(postings: DataFrame, queries: DataFrame, size: int, k: int = TOP, strict: bool = False, dfs: DataFrame | None = None) -> DataFrame:
     """``qid, rank, doc_id, score``: the k best documents of each of ``queries`` (qid, query)."""
     best = Window.partitionBy("qid").orderBy(F.desc("place"), "doc_id")
-    ranked = scored(postings, keywords(queries, strict), size, dfs).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    words = keywords(queries, strict)
+    ranked = scored(held(postings, words), words, size, dfs).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("qid", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 

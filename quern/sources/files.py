@@ -19,6 +19,10 @@ from quern.plans.shared import prepare
 
 #: Limits for ``most_bytes``, beyond which a file of a kind gives a document without content.
 MOST_BYTES = {"html": 50 << 20, "pdf": 50 << 20, "docx": 30 << 20}
+#: Names of the files of a kind, in either case.
+GLOBS = {"txt": "*.[tT][xX][tT]", "html": "{*.[hH][tT][mM],*.[hH][tT][mM][lL]}", "pdf": "*.[pP][dD][fF]", "docx": "*.[dD][oO][cC][xX]"}
+# Stop words where a stop word file is missing.
+BUILT_IN = "the a an is are was were of to in on and or for with at by it as be this that from which he she they we you i 的 了 在 是 我 有 和 就 不 人 都 一 也 很 到 说 要 去 你 会".split()
 #: Shorter strings are not taken where a PDF has no text operators.
 LEAST_STRING = 4
 # One-letter escapes of PDF strings.
@@ -139,27 +143,24 @@ def read_documents(spark: SparkSession, folder: str, docx_join: bool = False, ma
     files give empty text, as do files larger than ``most_bytes`` has for their kind. ``max_bytes`` cuts texts, at whole characters.
     """
     prepare(spark)
-    files = spark.read.format("binaryFile").load(folder)
-    files = files.select(_name("path").alias("file_name"), "modificationTime", "length", "content").withColumn("kind", T.file_type(F.col("file_name"))).where("kind != 'unknown'")
-    fits = F.lit(True)
-    for kind, most in (most_bytes or {}).items():
-        fits = fits & ((F.col("kind") != kind) | (F.col("length") <= most))
-    content = F.when(fits, F.col("content"))
-    plain = F.make_valid_utf8(content.cast("string"))
+    found = listed(spark, folder)
     docx = joined_docx_column if docx_join else docx_column
-    # each kind is read by itself, so that only PDF and DOCX files reach Python
-    parts = {"txt": F.substring_index(plain, "\x00", 1), "html": T.html_text(plain), "pdf": pdf_column(content), "docx": T.html_text(docx(content))}
-    out = None
-    for kind, text in parts.items():
-        part = files.where(F.col("kind") == kind).select("file_name", T.ascii_lower(F.coalesce(text, F.lit(""))).alias("text"), F.col("modificationTime").alias("modified"))
-        out = part if out is None else out.unionByName(part)
+    plain = lambda content: F.make_valid_utf8(content.cast("string"))
+    read = {"txt": lambda c: F.substring_index(plain(c), "\x00", 1), "html": lambda c: T.html_text(plain(c)), "pdf": pdf_column, "docx": lambda c: T.html_text(docx(c))}
+    # each kind's files are read by themselves, so that bytes are read once and only PDF and DOCX files reach Python
+    out = spark.createDataFrame([], "file_name string, text string")
+    for kind in sorted({_kind(name) for name, *_ in found} & set(read)):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", GLOBS[kind]).load(folder).select(_name("path").alias("file_name"), "length", "content")
+        most = (most_bytes or {}).get(kind)
+        content = F.col("content") if most is None else F.when(F.col("length") <= most, F.col("content"))
+        out = out.unionByName(files.select("file_name", T.ascii_lower(F.coalesce(read[kind](content), F.lit(""))).alias("text")))
     if max_bytes:
         out = out.withColumn("text", T.head_bytes(F.col("text"), max_bytes))
-    names = sorted(name for name, *_ in listed(spark, folder) if _kind(name) != "unknown")
-    times = {name: at for name, _, at in listed(spark, folder)}
+    names = sorted(name for name, *_ in found if _kind(name) != "unknown")
+    times = {name: at for name, _, at in found}
     ids = spark.createDataFrame([(i, name, times[name]) for i, name in enumerate(names)], "doc_id long, file_name string, modified timestamp")
     # readers pass over empty files: those have their row from the listing
-    return ids.join(out.drop("modified"), "file_name", "left").select("doc_id", "file_name", F.coalesce("text", F.lit("")).alias("text"), "modified")
+    return ids.join(out, "file_name", "left").select("doc_id", "file_name", F.coalesce("text", F.lit("")).alias("text"), "modified")
 
 
 def listed(spark: SparkSession, folder: str) -> list[tuple[str, int, datetime]]:
@@ -183,8 +184,11 @@ def stale(spark: SparkSession, folder: str, built) -> bool:
 
 
 def read_stopwords(spark: SparkSession, path: str | None, most: int | None = None) -> Sequence[str]:
-    """Stop words of a file, one on a line: leading blanks go, blank lines and those that begin with # are skipped; None gives the default words. ``most``: the first so many different ones."""
+    """Stop words of a file, one on a line: leading blanks go, blank lines and those that begin with # are skipped; None gives the default words, a file that does not exist the built-in ones. ``most``: the first so many different ones."""
     if path is None:
         return T.stopwords()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return BUILT_IN
     lines = spark.read.text(path).where("value != '' AND NOT startswith(value, '#')").select(F.regexp_replace("value", r"^[ \t]+|\r+$", "").alias("word")).where("word != ''")
     return sorted(r.word for r in lines.distinct().collect())[:most]

@@ -1,11 +1,12 @@
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
 
 from quern import registry
-from quern.operators import cache, index, present, search
+from quern.operators import cache, index, present, search, session
 
 DOCS = [
     "the search engine finds text in a search index", "a data structure for the index, and text search", "Search the engine! engine search engine", "text text text", "", "the of and", "unrelated words here", "engine text search engine index",
@@ -109,3 +110,53 @@ def test_log_hits(spark, capacity):
 def test_every_query_has_a_name_and_sql():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"bench"}
+
+
+# Texts whose term frequencies for the keywords below give the golden scores: 13 documents, keyword counts by document.
+GOLDEN = {
+    "one": "text text search engine engine index search",
+    "two": "search engine text x search index x data structure x keyword x index",
+    "three": "text search x engine search x index x search engine x keyword index x",
+    "four": "text x index data x structure",
+}
+
+
+def test_golden_scores(spark):
+    """Scores of a corpus of 13 documents, worked out by hand from tf * (ln(14 / (df + 1)) + 1) and five points for a phrase."""
+    texts = list(GOLDEN.values()) + [f"filler{i}" for i in range(8)] + ["pride"]
+    own = index.build(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    w = lambda df: math.log(14 / (df + 1)) + 1
+    assert own.size == 13
+    assert [(r.doc_id, r.score) for r in search.search(own, "pride").collect()] == [(12, 2.9459)]
+    assert {r.doc_id: r.score for r in search.search(own, "text").collect()} == {0: round(2 * w(4), 4), 1: 2.0296 + 0, 2: 2.0296, 3: 2.0296}
+    phrase = {r.doc_id: r.score for r in search.search(own, "data structure").collect()}
+    assert phrase == {1: round(2 * w(2) + 5, 4), 3: round(2 * w(2), 4)} == {1: 10.0809, 3: 5.0809}
+    assert round(w(4), 4) == 2.0296 and round(w(5), 4) == 1.8473 and round(w(3), 4) == 2.2528 and round(w(2), 4) == 2.5404 and round(w(1), 4) == 2.9459
+    # a stop word in the query counts as a keyword that nothing holds: no phrase
+    assert max(r.score for r in search.search(own, "search the engine").collect()) < max(r.score for r in search.search(own, "search engine").collect())
+
+
+def test_session_answers_from_cache(spark, caplog):
+    docs = spark.createDataFrame([(0, "a.txt", "alpha beta"), (1, "b.txt", "alpha alpha")], "doc_id long, file_name string, text string")
+    now = iter(range(100))
+    own = session.Session(index.build(docs), clock=lambda: next(now) / 1000)
+    with caplog.at_level("INFO", "quern.search"):
+        first = own.answer("alpha")
+    assert [(d["rank"], d["fileName"], d["abstract"]) for d in first["docList"]] == [(1, "b.txt", "alpha alpha..."), (2, "a.txt", "alpha beta...")]
+    assert first["queryTimeMs"] == 1.0 and [t["stage"] for t in first["timestamps"]] == ["cache lookup", "scoring", "scored", "shown"]
+    assert re.match(r"\[\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{3}\] cache lookup: 1\.000 ms", caplog.messages[0])
+    again = own.answer("alpha\n", bench="b")
+    assert again["docList"] == first["docList"] and again["queryTimeMs"] == 0 and again["benchText"] == "b"
+    assert (own.cache.hits, own.cache.misses) == (1, 1)
+    assert len(own.answer("alpha", k=1)["docList"]) == 1 and own.answer("nothing")["docList"] == []
+    assert session.log_time(session.datetime(2024, 1, 2, 3, 4, 5, 678_900)) == "2024-01-02 03:04:05.678"
+
+
+def test_batch_search_with_many_keywords(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 5} w{i % 3} common") for i in range(40)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "w1 common"), (1, "w1 w1"), (2, "none")], "qid int, query string")
+    own = index.build(docs)
+    few = sorted(map(tuple, search.batch_search(own.postings, asked, own.size).collect()))
+    assert {r[0] for r in few} == {0, 1}
+    monkeypatch.setattr(search, "FEW_TERMS", 1)
+    assert sorted(map(tuple, search.batch_search(own.postings, asked, own.size).collect())) == few

@@ -67,3 +67,16 @@ def test_limits_are_off(spark, tmp_path, monkeypatch):
     assert "longer than five" in files.read_documents(spark, folder).first().text
     assert files.read_documents(spark, folder, most_bytes=files.MOST_BYTES).first().text == ""
     assert len(files.read_stopwords(spark, words)) == 3000 and len(files.read_stopwords(spark, words, most=5)) == 5
+
+
+def test_missing_stop_word_file_gives_the_built_in_words(spark, tmp_path):
+    got = files.read_stopwords(spark, f"file://{tmp_path}/none.txt")
+    assert len(got) == 50 == len(set(got)) and {"the", "i", "的"} <= set(got)
+
+
+def test_names_in_either_case_and_hidden_files(spark, tmp_path):
+    for name in ("A.TXT", "b.HtM", "c.html", ".hidden.txt", "d.Txt", "e.bin"):
+        (tmp_path / name).write_text("<p>x" if "h" in name.lower() else "Plain")
+    got = {r.file_name: r.text for r in files.read_documents(spark, f"file://{tmp_path}").collect()}
+    assert set(got) >= {"A.TXT", "b.HtM", "c.html", "d.Txt"} and "e.bin" not in got
+    assert got["A.TXT"] == got["d.Txt"] == "plain" and got["b.HtM"] == "\nx"
