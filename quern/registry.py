@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern import oracle as O
 from quern.functions import text as T
-from quern.operators import cache, index, present, search
+from quern.operators import cache, index, present, search, session
 from quern.plans.shared import filesystem, new_path, stored
 from quern.sources import files
 
@@ -325,6 +325,41 @@ def stale_check(spark, d):
     return spark.createDataFrame([row], "never_built boolean, no_folder boolean, older boolean, newer boolean")
 
 
+# The SQL of the following is written out by hand: expected rows, or a formula that shares nothing with the engine's.
+@query("SELECT * FROM (VALUES (0::INTEGER, 0::INTEGER, 'search'), (0, 1, 'the'), (0, 2, 'engine'), (1, 0, 'search'), (1, 1, '引'), (1, 2, '擎'), (2, 0, 'caf'), (3, 0, 'text'), (3, 1, 'text')) v(n, pos, term)")
+def query_cases(spark, d):
+    asked = _values(spark, ["Search, the ENGINE!", "search 引擎", "café", "text text", "!!! \u3000"])
+    return asked.select("n", F.posexplode(T.query_terms(F.col("x"))).alias("pos", "term"))
+
+
+@query("SELECT doc_id, CAST(list_reduce(list_prepend(5381::BIGINT, list_transform(range(1, length(source) + 1), lambda i: CAST(ascii(substring(source, i, 1)) AS BIGINT))), lambda a, c: (a * 33 + c) % 4294967296) % 256 AS BIGINT) AS bucket FROM documents WHERE source IS NOT NULL")
+def hash_bucket(spark, d):
+    return documents(spark, d).where("source IS NOT NULL").select("doc_id", T.djb2(F.col("source")).cast("long").alias("bucket"))
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, '.hidden.txt', 'h'), (1, 'dirty.txt', 'ab' || chr(65533) || 'c'), (2, 'plain.pdf', 'only strings (here) '), (3, 'zero.txt', 'before')) v(doc_id, file_name, text)")
+def file_cases(spark, d):
+    """A hidden file, bytes that are no UTF-8, a PDF without text operators, and text after a NUL."""
+    path = new_path(spark, "cases")
+    system, folder = filesystem(path)
+    system.create_dir(folder, recursive=True)
+    for name, data in {".hidden.txt": b"H", "dirty.txt": b"ab\xffC", "plain.pdf": b"%PDF-1.4 (only strings \\(here\\)) (x)", "zero.txt": b"Before\x00After"}.items():
+        with system.open_output_stream(f"{folder}/{name}", compression=None) as f:
+            f.write(data)
+    return files.read_documents(spark, path).select("doc_id", "file_name", "text")
+
+
+@query(f"SELECT n, rank, doc_id, score, n > 0 AS cached FROM ({O.one_query(QUERY)}), (VALUES (0::INTEGER), (1)) v(n)")
+def session_results(spark, d):
+    """A query twice: the second answer comes from the cache."""
+    own = session.Session(index.build(documents(spark, d)), name_col="source")
+    rows = []
+    for n in (0, 1):
+        hits = own.cache.hits
+        rows += [(n, *r, own.cache.hits > hits) for r in own.ranked(QUERY)]
+    return spark.createDataFrame(rows, "n int, rank int, doc_id long, score double, cached boolean")
+
+
 @query()
 def bench(spark, d):
     """Stage and query times in ms over the documents: build, reload, then the fixed queries."""

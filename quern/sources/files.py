@@ -6,16 +6,17 @@ import io
 import re
 import zipfile
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quern.functions import text as T
-from quern.plans.shared import prepare
+from quern.plans.shared import filesystem, prepare
 
 #: Limits for ``most_bytes``, beyond which a file of a kind gives a document without content.
 MOST_BYTES = {"html": 50 << 20, "pdf": 50 << 20, "docx": 30 << 20}
@@ -136,6 +137,20 @@ def _name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def _passed_over(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """``file_name, length, content`` of files whose names begin with . or _, which Spark's readers pass over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = filesystem(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with system.open_input_file(f"{base.rstrip('/')}/{name}") as f:
+                    data = f.read()
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(data)], pa.int64()), pa.array([data], pa.binary())], names=["file_name", "length", "content"])
+
+    return spark.createDataFrame([(n,) for n in names], "file_name string").mapInArrow(run, "file_name string, length long, content binary")
+
+
 def read_documents(spark: SparkSession, folder: str, docx_join: bool = False, max_bytes: int | None = None, most_bytes: dict[str, int] | None = None) -> DataFrame:
     """``doc_id, file_name, text, modified`` of the supported files of a folder, not its subfolders.
 
@@ -151,6 +166,8 @@ def read_documents(spark: SparkSession, folder: str, docx_join: bool = False, ma
     out = spark.createDataFrame([], "file_name string, text string")
     for kind in sorted({_kind(name) for name, *_ in found} & set(read)):
         files = spark.read.format("binaryFile").option("pathGlobFilter", GLOBS[kind]).load(folder).select(_name("path").alias("file_name"), "length", "content")
+        if hidden := [name for name, *_ in found if name[0] in "._" and _kind(name) == kind]:
+            files = files.unionByName(_passed_over(spark, folder, hidden))
         most = (most_bytes or {}).get(kind)
         content = F.col("content") if most is None else F.when(F.col("length") <= most, F.col("content"))
         out = out.unionByName(files.select("file_name", T.ascii_lower(F.coalesce(read[kind](content), F.lit(""))).alias("text")))

@@ -75,8 +75,9 @@ def test_missing_stop_word_file_gives_the_built_in_words(spark, tmp_path):
 
 
 def test_names_in_either_case_and_hidden_files(spark, tmp_path):
-    for name in ("A.TXT", "b.HtM", "c.html", ".hidden.txt", "d.Txt", "e.bin"):
+    for name in ("A.TXT", "b.HtM", "c.html", ".hidden.txt", "d.Txt", "e.bin", "_e.txt"):
         (tmp_path / name).write_text("<p>x" if "h" in name.lower() else "Plain")
     got = {r.file_name: r.text for r in files.read_documents(spark, f"file://{tmp_path}").collect()}
-    assert set(got) >= {"A.TXT", "b.HtM", "c.html", "d.Txt"} and "e.bin" not in got
+    assert set(got) == {"A.TXT", "b.HtM", "c.html", ".hidden.txt", "d.Txt", "_e.txt"}
+    assert got[".hidden.txt"] == "<p>x" and got["_e.txt"] == "plain"
     assert got["A.TXT"] == got["d.Txt"] == "plain" and got["b.HtM"] == "\nx"
