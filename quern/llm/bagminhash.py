@@ -283,7 +283,11 @@ def _texts(docs: DataFrame, nodes: DataFrame, repeated: DataFrame) -> DataFrame:
     places = nodes.select("id", "node", *_keys()).join(repeated.withColumn("many", F.lit(True)), ["doc", "none"], "left")
     rows = docs.select(*_keys(), "text")
     one = rows.join(places.where("many IS NULL").hint("shuffle_hash"), ["doc", "none"]).select("id", "text")
-    more = rows.join(places.where("many").hint("shuffle_hash"), ["doc", "none"]).where(node_column(F.col("text")) == F.col("node"))
+    if not repeated.take(1):
+        return one
+    # stored first: a condition on words would be taken to the scan of all texts
+    more = stored(rows.join(repeated.hint("shuffle_hash"), ["doc", "none"], "left_semi"), "rows").withColumn("node", node_column(F.col("text")))
+    more = more.join(places.where("many"), ["doc", "none", "node"])
     return one.unionByName(more.groupBy("id").agg(F.min("text").alias("text")))
 
 
@@ -342,10 +346,12 @@ def deduplicated(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     rows = df.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), none: F.col(id_col).isNull()})
     key = [doc, none]
     ids = chosen.select(F.col("doc").alias(doc), F.col("none").alias(none), "many")
-    one = rows.join(ids.where("NOT many").drop("many").hint("shuffle_hash"), key, "left_semi")
-    more = rows.join(ids.where("many").drop("many").hint("shuffle_hash"), key, "left_semi").withColumn(node, node_column(F.col(text_col)))
+    one = rows.join(ids.where("NOT many").drop("many").hint("shuffle_hash"), key, "left_semi").select(*df.columns)
+    if not chosen.where("many").take(1):
+        return one
+    # stored first: a condition on words would be taken to the scan of all texts
+    more = stored(rows.join(ids.where("many").drop("many").hint("shuffle_hash"), key, "left_semi"), "rows").withColumn(node, node_column(F.col(text_col)))
     wanted = first.select(F.col("doc").alias(doc), F.col("none").alias(none), F.col("node").alias(node))
     same = Window.partitionBy(*key, node).orderBy(text_col)
     told = more.where(F.col(node).isNotNull()).join(wanted, [*key, node], "left_semi").withColumn(copy, F.row_number().over(same)).where(F.col(copy) == 1)
-    out = [one, told, more.where(F.col(node).isNull())]
-    return out[0].select(*df.columns).unionByName(out[1].select(*df.columns)).unionByName(out[2].select(*df.columns))
+    return one.unionByName(told.select(*df.columns)).unionByName(more.where(F.col(node).isNull()).select(*df.columns))
