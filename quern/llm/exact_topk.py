@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from quern.plans.shared import prepare, stored
 
-#: Rows of a candidate block and of a query block; score arrays hold QUERIES * CANDIDATES / 16 longs at once.
-CANDIDATES, QUERIES = 8192, 512
+#: Rows of a candidate block and of a query block: equal, since each side is sent once for each block of the other. Score arrays hold 32 * CANDIDATES longs at once.
+CANDIDATES, QUERIES = 4096, 4096
 LIMIT = 1 << 63
 
 
