@@ -1,3 +1,5 @@
+import hashlib
+
 import __spark_entry__
 import corpus_pipeline as cp
 from quern.llm import bagminhash
@@ -57,3 +59,17 @@ def test_empty_table(spark, real_docs, sf):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_other_stages_on_odd_rows(spark, odd_docs, sf):
+    """Nulls, empty and long texts, repeated rows and clashing columns pass the stages that the tests above give real rows only."""
+    clash = odd_docs.selectExpr("*", "1 AS content", "2 AS p", "3 AS item", "4 AS row")
+    before = sorted(map(str, clash.collect()))
+    kept = cp.quality_classifier(spark, clash, sf)
+    assert kept.columns == clash.columns and set(map(str, kept.collect())) <= set(before)
+    clean = cp.decontamination(spark, clash, sf)
+    assert clean.columns == clash.columns and sorted(map(str, clean.collect())) == before
+    ids = cp.byte_bpe_ids(spark, clash, sf).collect()
+    assert len(ids) == len(before)
+    texts = sorted((r.doc_id if r.doc_id is not None else -1, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in clash.collect())
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.decoded_sha256) for r in ids) == texts
