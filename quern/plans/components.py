@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.plans.shared import dropped, stored
+from quern.plans.shared import dropped, files_for, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,6 +16,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     and ends in a table; nothing but a checksum reaches the driver.
     """
     edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
+    # a round has hardly more edges than the one before it, and a task writes its share to one file
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,7 +25,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = large.distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        new = stored(small, "edges")
+        new = stored(small.coalesce(files_for(edges)), "edges")
         state = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         dropped(edges)
         edges = new

@@ -16,6 +16,8 @@ REPO = str(Path(__file__).resolve().parents[2])
 
 #: Bytes of an Arrow batch between the JVM and a Python worker, which both hold; Spark's default is 64 MB.
 BATCH_BYTES = 8 << 20
+#: Bytes for which ``files_for`` counts a file.
+FILE_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -67,6 +69,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def files_for(*tables: DataFrame) -> int:
+    """How many files a table gets that grows like ``tables``, which ``stored`` wrote.
+
+    One for each ``FILE_BYTES`` of them. A table of ids has few bytes in each of a shuffle's partitions where nothing merges
+    these, and a file costs a process on a local file system and a request on an object store, whatever its size.
+    """
+    size = 0
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._quern_path)
+        fs_ = path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+        size += fs_.getContentSummary(path).getLength()
+    return max(1, -(-size // FILE_BYTES))
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` wrote and that no later plan reads."""
     for df in tables:
