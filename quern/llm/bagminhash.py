@@ -36,7 +36,7 @@ from quern.plans import memo
 from quern.plans.arrow import slices
 from quern.plans.components import components
 from quern.plans.names import fresh
-from quern.plans.shared import dropped, prepare, stored
+from quern.plans.shared import dropped, files_for, prepare, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 6: a pair at similarity 0.8 shares a band with probability 0.9999, one at 0.3 with 0.02.
@@ -296,27 +296,30 @@ def _classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -> tu
     prepare(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     own = stored(signed(docs), "signed")
-    repeated = stored(own.select(*_keys()).groupBy("doc", "none").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
+    few = files_for(own)
+    repeated = stored(own.select(*_keys()).groupBy("doc", "none").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n").coalesce(few), "repeated")
     grouped = own.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
-    nodes = stored(grouped.select(F.monotonically_increasing_id().alias("id"), "*"), "nodes")
+    nodes = stored(grouped.select(F.monotonically_increasing_id().alias("id"), "*").coalesce(few), "nodes")
     keyed = nodes.select("id", F.explode("bands").alias("key"))
     least = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("n")).where("a != z").drop("z")
-    live = stored(keyed.join(least, "key"), "buckets")
+    live = stored(keyed.join(least, "key").coalesce(few), "buckets")
     texts = stored(_texts(docs, nodes.join(live.select("id").distinct(), "id", "left_semi"), repeated), "texts")
-    pairs = stored(live.where("id != a").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    links = stored(verified(pairs, texts, similarity), "links")
+    pairs = stored(live.where("id != a").select("a", F.col("id").alias("b")).distinct().coalesce(files_for(live)), "pairs")
+    # comparing texts keeps all its tasks, so links are dealt again before they are written
+    links = stored(verified(pairs, texts, similarity).repartition(files_for(pairs)), "links")
     roots = components(links)
     # what the stars leave apart within a bucket
     placed = live.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
     apart = placed.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("key")
-    rest = stored(placed.join(apart, "key"), "rest")
+    rest = stored(placed.join(apart, "key").coalesce(files_for(live)), "rest")
     small = rest.where(F.col("n") <= SMALL)
     left, right = small.select("key", F.col("id").alias("a"), F.col("root").alias("r")), small.select("key", F.col("id").alias("b"), F.col("root").alias("s"))
     across = left.join(right, "key").where("r < s").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = stored(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = stored(links.unionByName(verified(across, texts, similarity)).unionByName(_within(rest.where(F.col("n") > SMALL), texts, similarity)), "links")
+    across = stored(across.join(pairs, ["a", "b"], "left_anti").coalesce(files_for(rest)), "pairs")
+    more = links.unionByName(verified(across, texts, similarity)).unionByName(_within(rest.where(F.col("n") > SMALL), texts, similarity))
+    more = stored(more.repartition(files_for(links, across, rest)), "links")
     roots = components(more)
-    out = stored(nodes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("node", "doc", "n", F.coalesce("root", "id").alias("root")), "classes")
+    out = stored(nodes.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("node", "doc", "n", F.coalesce("root", "id").alias("root")).coalesce(few), "classes")
     dropped(texts, links, rest, live, pairs, across, more, nodes)
     return own.select("doc", "node"), out, repeated
 
@@ -341,7 +344,7 @@ def deduplicated(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "d
     wordless = own.where("node IS NULL").select(*_keys()).distinct()
     many = repeated.withColumn("many", F.lit(True))
     chosen = first.select("doc", "none").distinct().unionByName(wordless).distinct().join(many, ["doc", "none"], "left").select("doc", "none", F.coalesce("many", F.lit(False)).alias("many"))
-    chosen = stored(chosen, "chosen")
+    chosen = stored(chosen.coalesce(files_for(nodes)), "chosen")
     doc, none, node, copy = fresh(df.columns, "doc", "none", "node", "copy")
     rows = df.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), none: F.col(id_col).isNull()})
     key = [doc, none]
