@@ -20,7 +20,7 @@ QUERY_CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F\x{2000}-\x{206F}\x{3000}-\x{303F}\x{FF00}-\x{FFEF}"
 RUN = f"[{CJK}]+|[^{CJK}{SEPARATORS}]+"
 QUERY, STRICT_QUERY = f"[a-z0-9]+|[{QUERY_CJK}]", "[a-z0-9]+"
-TOKEN_BYTES, PAIR_BYTES, SNIPPET, KEYWORDS = 127, 8, 120, 256
+TOKEN_BYTES, PAIR_BYTES, SNIPPET = 127, 8, 120
 
 # Tags that begin a line, by their start and by their end.
 START_TAGS = "p|br|h[1-6]|div|li|tr|td|th|hr|section|article|header|footer"

@@ -25,7 +25,7 @@ def doc_tokens(x: str) -> str:
 
 
 def query_terms(x: str, strict: bool = False) -> str:
-    return f"list_transform(regexp_extract_all({lower(x)}, {_lit(T.STRICT_QUERY if strict else T.QUERY)}), lambda t: substring(t, 1, {T.TOKEN_BYTES}))[1:{T.KEYWORDS}]"
+    return f"list_transform(regexp_extract_all({lower(x)}, {_lit(T.STRICT_QUERY if strict else T.QUERY)}), lambda t: substring(t, 1, {T.TOKEN_BYTES}))"
 
 
 def exploded(keys: str, array: str, source: str, pos: str = "pos", value: str = "term") -> str:
