@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quern.plans.shared import prepare, stored
 
 CAPACITY = 100
+#: Accesses of a log that one task replays.
+RANGE_ROWS = 500_000
 
 
 class ResultCache:
@@ -53,12 +55,13 @@ def lru_hits(log: DataFrame, capacity: int, order_col: str, key_col: str) -> Dat
 
     The log is cut into ranges of its order. What a range leaves in the cache depends only on its last
     ``capacity`` distinct keys, so each range is summed up first, the cache at its start follows from the summaries
-    before it, and all ranges run at once. The driver holds ``capacity`` keys for each range.
+    before it, and all ranges run at once. A range has about ``RANGE_ROWS`` accesses, and the driver holds ``capacity`` keys for each.
     """
     spark = log.sparkSession
     prepare(spark)
     kind = log.schema[key_col].dataType.simpleString()
-    parts = stored(log.select(F.col(order_col).cast("long").alias("n"), F.col(key_col).alias("key")).repartitionByRange("n").withColumn("part", F.spark_partition_id()), "log")
+    log = log.select(F.col(order_col).cast("long").alias("n"), F.col(key_col).alias("key"))
+    parts = stored(log.repartitionByRange(max(1, -(-log.count() // RANGE_ROWS)), "n").withColumn("part", F.spark_partition_id()), "log")
     last = parts.groupBy("part", "key").agg(F.max("n").alias("n"))
     kept = last.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n")))).where(F.col("r") <= capacity)
     cache: OrderedDict = OrderedDict()

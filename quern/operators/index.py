@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import io
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.plans.shared import stored
+from quern.plans.shared import filesystem, prepare, remove, stored
 
 VERSION = 1
 # Fixed values of the binary layout: magic number and version.
 MAGIC, BINARY_VERSION = 0x5458544D, 1
+#: Postings of a batch that a reader of the binary layout hands on.
+BATCH_ROWS = 1 << 16
 
 
 def tokens(docs: DataFrame, stop: Sequence[str] | None = None, id_col: str = "doc_id", text_col: str = "text", max_tokens: int | None = None) -> DataFrame:
@@ -88,23 +92,81 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "docs")), corpus.n_docs)
 
 
+def _entry(term: str, places: np.ndarray) -> bytes:
+    if places.min() < 0 or places.max() > 0xFFFFFFFF:
+        raise ValueError(f"a document id or position of {term!r} does not fit 32 bits")
+    name = term.encode("utf-8")
+    return struct.pack("<B", len(name)) + name + struct.pack("<I", len(places)) + places.astype("<u4").tobytes()
+
+
+def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[bytes]:
+    """Terms of sorted ``term, doc_id, pos`` rows in the layout; a term's rows may lie in several batches."""
+    name, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        terms = batch.column("term").dictionary_encode()
+        codes = terms.indices.to_numpy()
+        places = np.column_stack([batch.column(x).to_numpy() for x in ("doc_id", "pos")])
+        cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+        for start, stop in zip(cuts, cuts[1:]):
+            term = terms.dictionary[int(codes[start])].as_py()
+            if term != name:
+                if held:
+                    yield _entry(name, np.concatenate(held))
+                name, held = term, []
+            held.append(places[start:stop])
+    if held:
+        yield _entry(name, np.concatenate(held))
+
+
+def _ordered(index: Index) -> DataFrame:
+    return index.postings.join(term_order(index.terms), "term").select("term_ord", "term", "doc_id", "pos")
+
+
+def save_binary(index: Index, path: str, files: int | None = None) -> DataFrame:
+    """Files in the little-endian layout in the folder ``path``, which all executors reach: ``file, terms`` of each.
+
+    Terms go by first appearance, postings by document and position, dealt to files by ranges of all three, so a
+    frequent term is spread over files that each hold a part of its postings. Each file is an index of its own, and
+    ``read_binary`` of the folder is the whole. A task that runs again writes the same bytes to the same file.
+    """
+    spark = index.postings.sparkSession
+    prepare(spark)
+    parts = _ordered(index).repartitionByRange(*([files] if files else []), "term_ord", "doc_id", "pos").sortWithinPartitions("term_ord", "doc_id", "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        system, folder = filesystem(path)
+        name, count = f"part-{TaskContext.get().partitionId():06d}.dat", 0
+        body = io.BytesIO()
+        for entry in _entries(batches):
+            body.write(entry)
+            count += 1
+        if count:
+            with system.open_output_stream(f"{folder}/{name}", compression=None) as f:
+                f.write(struct.pack("<III", MAGIC, BINARY_VERSION, count))
+                f.write(body.getbuffer())
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], names=["file", "terms"])
+
+    remove(spark, path)
+    system, folder = filesystem(path)
+    system.create_dir(folder, recursive=True)
+    return stored(parts.select("term", "doc_id", "pos").mapInArrow(run, "file string, terms long"), "files")
+
+
 def encode_binary(index: Index) -> bytes:
-    """The index in the little-endian layout: header, then for each term its bytes and postings, terms by first appearance.
+    """The index as one piece in the little-endian layout, for exchange with single-node tools: the driver holds all of it.
 
-    For exchange with single-node tools: terms arrive on the driver one partition after another.
+    ``save_binary`` writes an index of any size.
     """
-    ordered = index.postings.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "pos"))).alias("p"))
-    rows = ordered.join(term_order(index.terms), "term").orderBy("term_ord")
-    out, count = [], 0
-    for row in rows.toLocalIterator():
-        name = row.term.encode("utf-8")
-        out.append(struct.pack("<B", len(name)) + name + struct.pack("<I", len(row.p)) + b"".join(struct.pack("<II", x.doc_id, x.pos) for x in row.p))
-        count += 1
-    return struct.pack("<III", MAGIC, BINARY_VERSION, count) + b"".join(out)
+    rows = _ordered(index).orderBy("term_ord", "doc_id", "pos").select("term", "doc_id", "pos")
+    body = list(_entries(rows.toArrow().to_batches()))
+    return struct.pack("<III", MAGIC, BINARY_VERSION, len(body)) + b"".join(body)
 
 
-def decode_binary(data: bytes) -> Iterator[tuple[str, int, int]]:
-    """``term, doc_id, pos`` of the layout; another magic number raises, another version is read as well as it goes."""
+def _decoded(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
     magic, _, count = struct.unpack_from("<III", data, 0)
     if magic != MAGIC:
         raise ValueError("not an index file")
@@ -114,19 +176,38 @@ def decode_binary(data: bytes) -> Iterator[tuple[str, int, int]]:
         term = data[at + 1 : at + 1 + size].decode("utf-8")
         (n,) = struct.unpack_from("<I", data, at + 1 + size)
         at += 5 + size
-        for doc, pos in struct.iter_unpack("<II", data[at : at + 8 * n]):
-            yield term, doc, pos
+        yield term, np.frombuffer(data, "<u4", 2 * n, at).reshape(n, 2)
         at += 8 * n
 
 
+def decode_binary(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """``term, doc_id, pos`` of the layout; another magic number raises, another version is read as well as it goes."""
+    for term, places in _decoded(data):
+        for doc, pos in places.tolist():
+            yield term, doc, pos
+
+
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """Postings of index files in the binary layout; a file is a task."""
+    """``term, doc_id, pos`` of the index files of a file or folder in the binary layout; a file is a task, its rows go out in batches."""
+    prepare(spark)
+
+    def batch(held: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
+        places = np.concatenate([x for _, x in held])
+        terms = pa.array([x for x, _ in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), [len(x) for _, x in held])))
+        return pa.RecordBatch.from_arrays([terms, pa.array(places[:, 0].astype("i8")), pa.array(places[:, 1].astype("i4"))], names=["term", "doc_id", "pos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                rows = list(decode_binary(data))
-                terms, docs, places = zip(*rows) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(docs, pa.int64()), pa.array(places, pa.int32())], names=["term", "doc_id", "pos"])
+        for got in batches:
+            for data in got.column(0):
+                held, rows = [], 0
+                for term, places in _decoded(data.as_py()):
+                    for start in range(0, len(places), BATCH_ROWS):
+                        held.append((term, places[start : start + BATCH_ROWS]))
+                        rows += len(held[-1][1])
+                        if rows >= BATCH_ROWS:
+                            yield batch(held)
+                            held, rows = [], 0
+                if held:
+                    yield batch(held)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "term string, doc_id long, pos int")

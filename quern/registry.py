@@ -15,6 +15,7 @@ from quern.functions import text as T
 from quern.operators import cache, index, present, search, session
 from quern.plans.shared import filesystem, new_path, stored
 from quern.sources import files
+from quern.streaming import indexing
 
 QUERY, PHRASE, REPEATED, STOPPED = "eriner thanea ing", "attion thanedble anea", "ing thth ing", "attion the thanedble"
 # The queries that are timed.
@@ -76,7 +77,16 @@ def doc_tokens(spark, d):
     return index.tokens(documents(spark, d))
 
 
-@query(O.exploded("n", O.doc_tokens("x"), _sql_values(CJK)))
+# The rows that the contract expects, written out by hand.
+CJK_TOKENS = ["搜 索 引 擎 搜索 索引 引擎", "测 试 测试 html 文 档 文档", "没", "café É", "ひらがな", "", "\U00020000 \U00020001", "quick fox s", "don t x y", "q" * 127, "é" * 63, ""]
+HTML_TEXTS = ["a\nb", "ab", "ab", "x\ny", "xy", "2  1", " b --", "&lt; &copy;", "y", "v"]
+
+
+def _expected(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(O._lit(x) if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+
+@query(f"SELECT CAST(n AS INTEGER) AS n, CAST(pos AS INTEGER) AS pos, term FROM (VALUES {_expected([(n, pos, term) for n, line in enumerate(CJK_TOKENS) for pos, term in enumerate(line.split())])}) v(n, pos, term)")
 def cjk_tokens(spark, d):
     return index.tokens(_values(spark, CJK), id_col="n", text_col="x").withColumnRenamed("doc_id", "n")
 
@@ -99,7 +109,7 @@ def html_text(spark, d):
     return pages(spark, d).select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
-@query(f"SELECT n, {O.html_text('x')} AS text FROM {_sql_values(HTML)}")
+@query(f"SELECT CAST(n AS INTEGER) AS n, text FROM (VALUES {_expected(list(enumerate(HTML_TEXTS)))}) v(n, text) UNION ALL SELECT n, {O.html_text('x')} AS text FROM {_sql_values(HTML)} WHERE n >= {len(HTML_TEXTS)}")
 def html_cases(spark, d):
     return _values(spark, HTML).select("n", T.html_text(F.col("x")).alias("text"))
 
@@ -163,6 +173,13 @@ def index_roundtrip(spark, d):
     return _postings(_saved(spark, d).postings)
 
 
+@query(f"WITH t AS ({O.TOKENS}) {POSTINGS}")
+def binary_roundtrip(spark, d):
+    path = new_path(spark, "binary")
+    index.save_binary(index.build(documents(spark, d)), path)
+    return _postings(index.read_binary(spark, path))
+
+
 @query(f"WITH t AS ({O.TOKENS}) SELECT term, doc_id, count(*) AS tf FROM t GROUP BY ALL")
 def term_freq(spark, d):
     return index.term_frequencies(doc_tokens(spark, d))
@@ -190,6 +207,16 @@ for _name, _text in (("tfidf_top10", "ing"), ("phrase_match", PHRASE), ("search_
     _search(_name, _text)
 
 
+@query(O.one_query(QUERY))
+def stream_search_top10(spark, d):
+    """The documents as a stream of files, indexed batch by batch, then searched."""
+    folder, path = new_path(spark, "arrived"), new_path(spark, "streamed")
+    docs = documents(spark, d)
+    docs.repartition(4, "doc_id").write.parquet(folder)
+    indexing.index_stream(indexing.read_stream(spark, folder, docs.schema, files_each=2), path, new_path(spark, "progress")).awaitTermination()
+    return search.search(indexing.load_stream(spark, path), QUERY)
+
+
 @query(O.ranked(O.exploded("qid", O.query_terms("text"), "(SELECT conv_id * 1000 + turn AS qid, text FROM conversations WHERE role = 'user')", "qpos")))
 def batch_search_top10(spark, d):
     asked = conversations(spark, d).where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query"))

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from quern import registry
@@ -69,6 +70,32 @@ def test_binary_layout(spark, own, tmp_path):
         list(index.decode_binary(b"\0" * 12))
 
 
+@pytest.mark.parametrize("files", [None, 1, 7])
+def test_binary_files(spark, own, tmp_path, files):
+    """Files together hold all postings; one file is the layout's single piece; an index without a term has no file."""
+    path = f"file://{tmp_path}/binary"
+    written = index.save_binary(own, path, files).collect()
+    assert sorted(r.file for r in written) == sorted(x.name for x in (tmp_path / "binary").glob("*.dat"))
+    want = sorted((r.term, r.doc_id, r.pos) for r in own.postings.collect())
+    assert sorted((r.term, r.doc_id, r.pos) for r in index.read_binary(spark, path).collect()) == want
+    if files == 1:
+        assert [x.read_bytes() for x in (tmp_path / "binary").glob("*.dat")] == [index.encode_binary(own)]
+    none = index.build(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))
+    assert index.save_binary(none, path, files).count() == 0
+    assert index.encode_binary(none) == index.struct.pack("<III", index.MAGIC, index.BINARY_VERSION, 0)
+
+
+def test_a_term_over_several_files_and_batches(spark, tmp_path, monkeypatch):
+    own = index.build(spark.range(300).selectExpr("id AS doc_id", "repeat('granite ', 40) || id AS text"))
+    assert index.save_binary(own, f"file://{tmp_path}/binary", 5).count() == 5
+    got = index.read_binary(spark, f"file://{tmp_path}/binary")
+    assert got.where("term = 'granite'").count() == 12000 and got.exceptAll(own.postings.select("term", "doc_id", "pos")).isEmpty()
+    monkeypatch.setattr(index, "BATCH_ROWS", 100)
+    batches = [pa.RecordBatch.from_pydict({"term": ["a", "b"], "doc_id": [1, 1], "pos": [0, 1]}), pa.RecordBatch.from_pydict({"term": ["b", "c"], "doc_id": [2, 2], "pos": [0, 1]})]
+    body = b"".join(index._entries(batches))
+    assert list(index.decode_binary(index.struct.pack("<III", index.MAGIC, 1, 3) + body)) == [("a", 1, 0), ("b", 1, 1), ("b", 2, 0), ("c", 2, 1)]
+
+
 def test_suggestions(own):
     terms = [r.term for r in search.suggest(own.terms, "s").orderBy("n").collect()]
     assert terms == ["search", "structure"]
@@ -107,6 +134,20 @@ def test_log_hits(spark, capacity):
     assert {r.n: r.hit for r in got} == want
 
 
+def test_log_hits_over_ranges(spark, monkeypatch):
+    """A log of many ranges, and one without a row."""
+    monkeypatch.setattr(cache, "RANGE_ROWS", 90)
+    rnd, c = random.Random(5), cache.ResultCache(4)
+    log = [(i, int(rnd.expovariate(0.2))) for i in range(800)]
+    want = {}
+    for t, user in log:
+        want[t] = c.get(str(user)) is not None
+        c.put(str(user), [])
+    df = spark.createDataFrame(log, "t long, user long")
+    assert {r.n: r.hit for r in cache.lru_hits(df, 4, "t", "user").collect()} == want
+    assert cache.lru_hits(df.where("t < 0"), 4, "t", "user").count() == 0
+
+
 def test_every_query_has_a_name_and_sql():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"bench"}
