@@ -44,15 +44,18 @@ def vocabulary(postings: DataFrame) -> DataFrame:
 
 
 def term_order(terms: DataFrame) -> DataFrame:
-    """``term, term_ord``: place of each term by first appearance, from 0.
+    """``term, first_doc, first_pos, term_ord``: place of each term by first appearance, from 0.
 
-    Numbered in ranges: ranges are sorted each by itself and start at the sum of the counts before them.
+    Numbered in ranges: ranges are sorted each by itself and start at the sum of the counts before them. They are stored
+    first, since two plans of one repartition need not cut it in the same places.
     """
-    parts = terms.select("term", "first_doc", "first_pos").repartitionByRange("first_doc", "first_pos").withColumn("part", F.spark_partition_id())
-    parts = parts.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("first_doc", "first_pos")))
+    ranges = terms.select("term", "first_doc", "first_pos").repartitionByRange("first_doc", "first_pos").sortWithinPartitions("first_doc", "first_pos")
+    # the id has the partition above bit 33 and the row's place in it below
+    at = stored(ranges.withColumn("at", F.monotonically_increasing_id()), "ranges")
+    parts = at.select("term", "first_doc", "first_pos", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("n"))
     counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
     base = counts.withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return parts.join(F.broadcast(base), "part").select("term", (F.col("base") + F.col("n") - 1).alias("term_ord"))
+    return parts.join(F.broadcast(base), "part").select("term", "first_doc", "first_pos", (F.col("base") + F.col("n")).alias("term_ord"))
 
 
 def corpus_size(postings: DataFrame) -> int:
@@ -121,7 +124,7 @@ def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[bytes]:
 
 
 def _ordered(index: Index) -> DataFrame:
-    return index.postings.join(term_order(index.terms), "term").select("term_ord", "term", "doc_id", "pos")
+    return index.postings.join(term_order(index.terms).select("term", "term_ord"), "term").select("term_ord", "term", "doc_id", "pos")
 
 
 def save_binary(index: Index, path: str, files: int | None = None) -> DataFrame:

@@ -152,8 +152,7 @@ def postings(spark, d):
 
 @query(f"WITH t AS ({O.TOKENS}), f AS (SELECT term, min({{'d': doc_id, 'p': pos}}) AS f FROM t GROUP BY term) SELECT term, f.d AS first_doc, f.p AS first_pos, row_number() OVER (ORDER BY f) - 1 AS term_ord FROM f")
 def vocab_order(spark, d):
-    terms = stored(index.vocabulary(doc_tokens(spark, d)), "terms")
-    return terms.join(index.term_order(terms), "term").select("term", "first_doc", "first_pos", "term_ord")
+    return index.term_order(index.vocabulary(doc_tokens(spark, d)))
 
 
 @query(f"WITH t AS ({O.TOKENS}) SELECT count(DISTINCT term) AS n_terms, count(*) AS n_postings, max(doc_id) + 1 AS n_docs FROM t")

@@ -201,3 +201,29 @@ def test_batch_search_with_many_keywords(spark, monkeypatch):
     assert {r[0] for r in few} == {0, 1}
     monkeypatch.setattr(search, "FEW_TERMS", 1)
     assert sorted(map(tuple, search.batch_search(own.postings, asked, own.size).collect())) == few
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Partitions that are merged by bytes, as those of a larger table are."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def large(spark, tmp_path):
+    """A saved index of 3,000 documents of a common and of many rare words."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat_ws(' ', 'granite', sha1(string(id)), id, 7 * id) AS text")
+    index.build(docs).save(f"file://{tmp_path}/index")
+    return index.load(spark, f"file://{tmp_path}/index")
+
+
+def test_term_order_over_many_partitions(spark, small_partitions, tmp_path):
+    own = large(spark, tmp_path)
+    first = dict.fromkeys(r.term for r in own.postings.orderBy("doc_id", "pos").collect())
+    got = index.term_order(own.terms).collect()
+    assert sorted((r.term_ord, r.term) for r in got) == list(enumerate(first))
