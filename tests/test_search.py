@@ -227,3 +227,10 @@ def test_term_order_over_many_partitions(spark, small_partitions, tmp_path):
     first = dict.fromkeys(r.term for r in own.postings.orderBy("doc_id", "pos").collect())
     got = index.term_order(own.terms).collect()
     assert sorted((r.term_ord, r.term) for r in got) == list(enumerate(first))
+
+
+def test_binary_files_of_many_partitions(spark, small_partitions, tmp_path):
+    own, path = large(spark, tmp_path), f"file://{tmp_path}/binary"
+    index.save_binary(own, path)
+    got, want = index.read_binary(spark, path), own.postings.select("term", "doc_id", "pos")
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty()
