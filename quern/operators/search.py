@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import batch
 from quern.operators.index import Index, document_frequencies
+from quern.plans.shared import stored
 
 TOP, SUGGESTIONS, BONUS = 10, 20, 5.0
 #: Different keywords that are broadcast at most, some 30 bytes each; more meet the postings by shuffle.
@@ -33,11 +35,9 @@ def keywords(queries: DataFrame, strict: bool = False) -> DataFrame:
     return queries.select("qid", F.posexplode(T.query_terms(F.col("query"), strict)).alias("qpos", "term"))
 
 
-def held(postings: DataFrame, words: DataFrame) -> DataFrame:
-    """The postings of the keywords, before anything is shuffled."""
-    terms = words.select("term").distinct()
-    few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
-    return postings.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+def _sent(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of n rows, broadcast if these are few."""
+    return F.broadcast(df) if n <= FEW_TERMS else df
 
 
 def scored(postings: DataFrame, words: DataFrame, size: int, dfs: DataFrame | None = None) -> DataFrame:
@@ -58,9 +58,15 @@ def scored(postings: DataFrame, words: DataFrame, size: int, dfs: DataFrame | No
 
 def batch_search(postings: DataFrame, queries: DataFrame, size: int, k: int = TOP, strict: bool = False, dfs: DataFrame | None = None) -> DataFrame:
     """``qid, rank, doc_id, score``: the k best documents of each of ``queries`` (qid, query)."""
-    best = Window.partitionBy("qid").orderBy(F.desc("place"), "doc_id")
-    words = keywords(queries, strict)
-    ranked = scored(held(postings, words), words, size, dfs).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    words = stored(keywords(queries, strict), "keywords")
+    terms = words.select("term").distinct()
+    terms = _sent(terms, terms.limit(FEW_TERMS + 1).count())
+    # before anything is shuffled, only the postings of the keywords stay
+    counts = document_frequencies(postings.join(terms, "term", "left_semi")) if dfs is None else dfs.select("term", "df").join(terms, "term", "left_semi")
+    known = stored(counts.withColumn("idf", idf(F.lit(float(size)), F.col("df"))).withColumn("tid", F.monotonically_increasing_id()), "known")
+    found = batch.best(postings.join(_sent(known.select("term", "tid"), known.count()), "term"), words, known, k, BONUS)
+    best = Window.partitionBy("qid").orderBy(F.desc("place"), F.asc_nulls_last("doc_id"))
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("qid", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 

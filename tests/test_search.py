@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from quern import registry
-from quern.operators import cache, index, present, search, session
+from quern.operators import batch, cache, index, present, search, session
 
 DOCS = [
     "the search engine finds text in a search index", "a data structure for the index, and text search", "Search the engine! engine search engine", "text text text", "", "the of and", "unrelated words here", "engine text search engine index",
@@ -234,3 +234,55 @@ def test_binary_files_of_many_partitions(spark, small_partitions, tmp_path):
     index.save_binary(own, path)
     got, want = index.read_binary(spark, path), own.postings.select("term", "doc_id", "pos")
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
+
+
+def shuffled(df):
+    """The most rows that one exchange of the plan has written, after the plan has run."""
+    rows, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if (found := node.metrics().get("shuffleRecordsWritten")).isDefined():
+                rows.append(found.get().value())
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+    return max(rows)
+
+
+def test_batch_search_writes_no_table_of_pairs(spark):
+    """400 documents and 300 queries of a word that all hold: 120,000 pairs."""
+    own = index.build(spark.range(400).selectExpr("id AS doc_id", "concat('common w', id % 7) AS text"))
+    got = search.batch_search(own.postings, spark.range(300).selectExpr("id AS qid", "concat('common w', id % 9) AS query"), own.size)
+    assert len(got.collect()) == 3000
+    assert shuffled(got) <= 300 * 10
+
+
+def test_batch_search_over_blocks(spark, monkeypatch):
+    """Against scores pair by pair: null ids, queries in several rows, repeated and unknown words, phrases, ties, several blocks and files."""
+    monkeypatch.setattr(batch, "BLOCK_PAIRS", 60)
+    monkeypatch.setattr(batch, "FILE_WORDS", 20)
+    rnd = random.Random(3)
+    word = lambda: f"w{int(rnd.expovariate(0.5))}"
+    docs = [(i * 3, " ".join(word() for _ in range(rnd.randrange(12)))) for i in range(120)] + [(None, "w1 w2 w0 w0")]
+    asked = [(j, " ".join(word() for _ in range(rnd.randrange(1, 5)))) for j in range(60)] + [(3, "w1"), (None, "w1 w2"), (99, "w0 nothing"), (98, "nothing"), (97, "")]
+    own = index.build(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = search.batch_search(own.postings, spark.createDataFrame(asked, "qid long, query string"), own.size, k=7).collect()
+    held = {i: t.split() for i, t in docs}
+    df, want = Counter(w for t in held.values() for w in set(t)), []
+    for qid in dict.fromkeys(q for q, _ in asked):
+        texts = [t.split() for q, t in asked if q == qid]
+        words, places = sum(texts, []), []
+        for i, t in held.items():
+            if hits := [w for w in words if w in t]:
+                score = sum(t.count(w) * (math.log((own.size + 1) / (df[w] + 1)) + 1) for w in hits)
+                if len(texts) == 1 and len(words) > 1 and None not in (qid, i) and any(t[p : p + len(words)] == words for p in range(len(t))):
+                    score += 5
+                places.append((-round(score, 6), i is None, i, score))
+        want += [(qid, rank, i, round(score, 4)) for rank, (_, _, i, score) in enumerate(sorted(places)[:7], 1)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
