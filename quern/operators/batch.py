@@ -18,14 +18,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from quern.plans import memo
 from quern.plans.shared import filesystem, prepare, stored
 
 #: Pairs of term and document in a block, and keywords in a file of queries.
-BLOCK_PAIRS, FILE_WORDS = 1_500_000, 250_000
+BLOCK_PAIRS, FILE_WORDS = 1_200_000, 40_000
 #: Scores are ranked to so many parts of one; best ones of a block are cut with two parts to spare.
 PARTS = 1_000_000
 
@@ -43,7 +44,8 @@ def packed(words: DataFrame, known: DataFrame) -> DataFrame:
 class Block:
     """Postings of some documents: documents in order of their ids, then for each term its documents, frequencies and places."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        rows = pa.Table.from_batches(batches)
         ids = rows.column("doc_id").combine_chunks().dictionary_encode(null_encoding="encode")
         order = pc.sort_indices(ids.dictionary, null_placement="at_end").to_numpy()
         self.ids = ids.dictionary.take(pa.array(order))
@@ -53,8 +55,10 @@ class Block:
         # a place is the document above bit 32 and the position below, so that a phrase is a run of places
         at = (place[ids.indices.to_numpy()] << 32) + rows.column("pos").to_numpy()
         tids = rows.column("tid").to_numpy()
+        del rows, ids, place
         order = np.lexsort((at, tids))
         self.at, tids = at[order], tids[order]
+        del at, order
         docs = self.at >> 32
         starts = np.flatnonzero(np.concatenate([[True], (np.diff(tids) != 0) | (np.diff(docs) != 0)]))
         self.docs, self.tf = docs[starts], np.diff(starts, append=len(tids)).astype(np.float64)
@@ -80,8 +84,8 @@ class Block:
         docs = np.unique((found + min(q for q, _ in words)) >> 32)
         return docs[docs != self.missing]
 
-    def best(self, words: list[tuple[int, int, float]], phrase: bool, k: int, bonus: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Documents, scores and places of the k best."""
+    def best(self, words: list[tuple[int, int, float]], phrase: bool, k: int, bonus: float) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and scores of the k best."""
         scores, hit = np.zeros(len(self.ids)), None
         if any(w <= 0 for _, _, w in words):
             hit = np.zeros(len(self.ids), bool)
@@ -101,9 +105,13 @@ class Block:
         if hit is None and len(scores) > k:
             some &= scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - 2 / PARTS
         docs = np.flatnonzero(some)
-        place = np.floor(scores[docs] * PARTS + 0.5) / PARTS
-        first = np.lexsort((docs, -place))[:k]
-        return docs[first], scores[docs[first]], place[first]
+        first = docs[np.lexsort((docs, -np.floor(scores[docs] * PARTS + 0.5)))[:k]]
+        return first, scores[first]
+
+
+def place(score: Column) -> Column:
+    """What ranks: the score in parts, as a block ranks it."""
+    return F.floor(score * PARTS + 0.5)
 
 
 def _asked(folder: str) -> Iterator[pa.Table]:
@@ -116,14 +124,15 @@ def _asked(folder: str) -> Iterator[pa.Table]:
 
 
 def best(postings: DataFrame, words: DataFrame, known: DataFrame, k: int, bonus: float) -> DataFrame:
-    """``qid, doc_id, score, place``: of each block, the k best documents of each query. known: ``term, df, idf, tid``, stored; postings: ``doc_id, tid, pos``."""
+    """``qid, doc_id, score``: of each block, the k best documents of each query. known: ``term, df, idf, tid``, stored; postings: ``doc_id, tid, pos``."""
     prepare(words.sparkSession)
     blocks = max(1, -(-(known.agg(F.sum("df")).first()[0] or 0) // BLOCK_PAIRS))
     folder = packed(words, known)._quern_path
-    kinds = StructType([StructField("qid", words.schema["qid"].dataType), StructField("doc_id", postings.schema["doc_id"].dataType), StructField("score", DoubleType()), StructField("place", DoubleType())])
+    kinds = StructType([StructField("qid", words.schema["qid"].dataType), StructField("doc_id", postings.schema["doc_id"].dataType), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Block(pa.Table.from_batches(batches))
+        own = Block(batches)
+        memo.give_back()
         for asked in _asked(folder):
             lists = asked.column("words").combine_chunks()
             ends, flat = lists.offsets.to_numpy(), lists.flatten()
@@ -132,10 +141,10 @@ def best(postings: DataFrame, words: DataFrame, known: DataFrame, k: int, bonus:
             for i in range(asked.num_rows):
                 out.append(own.best(rows[ends[i] - ends[0] : ends[i + 1] - ends[0]], phrase[i], k, bonus))
             if out:
-                docs, score, place = (np.concatenate(x) for x in zip(*out))
+                docs, score = (np.concatenate(x) for x in zip(*out))
                 at = np.repeat(np.arange(len(out)), [len(x[0]) for x in out])
                 qids = asked.column("qid").combine_chunks().take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([qids, own.ids.take(pa.array(docs)), pa.array(score), pa.array(place)], names=["qid", "doc_id", "score", "place"])
+                yield pa.RecordBatch.from_arrays([qids, own.ids.take(pa.array(docs)), pa.array(score)], names=["qid", "doc_id", "score"])
 
     dealt = postings.select("doc_id", "tid", "pos", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("c"))
     return dealt.groupBy("c").applyInArrow(run, kinds)

@@ -65,7 +65,7 @@ def batch_search(postings: DataFrame, queries: DataFrame, size: int, k: int = TO
     counts = document_frequencies(postings.join(terms, "term", "left_semi")) if dfs is None else dfs.select("term", "df").join(terms, "term", "left_semi")
     known = stored(counts.withColumn("idf", idf(F.lit(float(size)), F.col("df"))).withColumn("tid", F.monotonically_increasing_id()), "known")
     found = batch.best(postings.join(_sent(known.select("term", "tid"), known.count()), "term"), words, known, k, BONUS)
-    best = Window.partitionBy("qid").orderBy(F.desc("place"), F.asc_nulls_last("doc_id"))
+    best = Window.partitionBy("qid").orderBy(batch.place(F.col("score")).desc(), F.asc_nulls_last("doc_id"))
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("qid", "rank", "doc_id", F.round("score", 4).alias("score"))
 
