@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import struct
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +20,12 @@ VERSION = 1
 MAGIC, BINARY_VERSION = 0x5458544D, 1
 #: Postings of a batch that a reader of the binary layout hands on.
 BATCH_ROWS = 1 << 16
+#: Postings that a task packs at once, and bits of a document id within a block, 16 at most.
+PIECE_ROWS, BLOCK_BITS = 1 << 21, 14
+#: Bytes at which a file of the binary layout ends.
+FILE_BYTES = 16 << 20
+#: A place in a piece, by whether a position needs more than 16 bits.
+PLACE = {False: np.dtype([("doc", "<u2"), ("pos", "<u2")]), True: np.dtype([("doc", "<u2"), ("pos", "<u4")])}
 
 
 def tokens(docs: DataFrame, stop: Sequence[str] | None = None, id_col: str = "doc_id", text_col: str = "text", max_tokens: int | None = None) -> DataFrame:
@@ -98,6 +104,10 @@ def load(spark: SparkSession, path: str) -> Index:
 def _entry(term: str, places: np.ndarray) -> bytes:
     if places.min() < 0 or places.max() > 0xFFFFFFFF:
         raise ValueError(f"a document id or position of {term!r} does not fit 32 bits")
+    return _packed(term, places)
+
+
+def _packed(term: str, places: np.ndarray) -> bytes:
     name = term.encode("utf-8")
     return struct.pack("<B", len(name)) + name + struct.pack("<I", len(places)) + places.astype("<u4").tobytes()
 
@@ -127,36 +137,126 @@ def _ordered(index: Index) -> DataFrame:
     return index.postings.join(term_order(index.terms).select("term", "term_ord"), "term").select("term_ord", "term", "doc_id", "pos")
 
 
+def _arrays(batches: Sequence[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``term, doc_id, pos`` rows: the terms, and each row's term, document and position, in order of all three."""
+    terms = pa.chunked_array([x.column("term") for x in batches]).unify_dictionaries()
+    names, codes = terms.chunk(0).dictionary, np.concatenate([x.indices.to_numpy() for x in terms.chunks]).astype(np.uint64)
+    if any(x.column(k).null_count for x in batches for k in ("doc_id", "pos")):
+        raise ValueError("a null document id or position has no place in the binary layout")
+    docs, pos = (np.concatenate([x.column(k).to_numpy() for x in batches]).astype(np.int64) for k in ("doc_id", "pos"))
+    if ((docs | pos) >> 32).any():
+        at = int(np.flatnonzero((docs | pos) >> 32)[0])
+        raise ValueError(f"a document id or position of {names[int(codes[at])].as_py()!r} does not fit 32 bits")
+    place = docs.astype(np.uint64) << np.uint64(32) | pos.astype(np.uint64)
+    if (place[1:] < place[:-1]).any():
+        order = np.argsort(place)
+        codes, place = codes[order], place[order]
+    # codes and rows fit 32 bits each, and sorting them as one number keeps rows of a term in order
+    both = np.sort(codes << np.uint64(32) | np.arange(len(codes), dtype=np.uint64))
+    place = place[both & np.uint64(0xFFFFFFFF)]
+    return names, (both >> np.uint64(32)).astype(np.int64), (place >> np.uint64(32)).astype(np.int64), (place & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """``_arrays`` of so many batches together as hold some ``PIECE_ROWS`` rows."""
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(pa.RecordBatch.from_arrays([batch.column("term").dictionary_encode(), batch.column("doc_id"), batch.column("pos")], names=["term", "doc_id", "pos"]))
+            rows += batch.num_rows
+        if rows >= PIECE_ROWS:
+            yield _arrays(held)
+            held, rows = [], 0
+    if held:
+        yield _arrays(held)
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``term, block, wide, places``: places of a term in a block of 2**BLOCK_BITS documents, packed as ``PLACE[wide]``; a term and block in several rows."""
+    for names, codes, docs, pos in _gathered(batches):
+        blocks = docs >> BLOCK_BITS
+        starts = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(blocks, prepend=-1) != 0))
+        wide = bool((pos >> 16).any())
+        places = np.empty(len(docs), PLACE[wide])
+        places["doc"], places["pos"] = docs & ((1 << BLOCK_BITS) - 1), pos
+        ends = pa.py_buffer((np.append(starts, len(docs)) * places.itemsize).astype(np.int32))
+        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer(places.tobytes())])
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(codes[starts])), pa.array(blocks[starts]), pa.array(np.full(len(starts), wide)), packed], names=["term", "block", "wide", "places"])
+
+
+def _places(batch: pa.RecordBatch) -> Iterator[tuple[str, int, np.ndarray]]:
+    """Term, block and ``doc_id, pos`` pairs of each row of ``_pieces``."""
+    rows, wide, blocks = batch.column("places"), batch.column("wide").to_numpy(zero_copy_only=False), batch.column("block").to_numpy()
+    sizes = pc.binary_length(rows).to_numpy() // np.where(wide, PLACE[True].itemsize, PLACE[False].itemsize)
+    packed = np.concatenate([np.frombuffer(x.as_buffer(), PLACE[w]).astype(PLACE[True]) for x, w in zip(rows, wide.tolist())]) if wide.any() else np.frombuffer(b"".join(rows.to_pylist()), PLACE[False])
+    places = np.column_stack([packed["doc"] + (np.repeat(blocks, sizes) << BLOCK_BITS), packed["pos"]]).astype("<u4")
+    ends = np.cumsum(sizes).tolist()
+    for term, block, start, stop in zip(batch.column("term").to_pylist(), blocks.tolist(), [0, *ends], ends):
+        yield term, block, places[start:stop]
+
+
+def _files(batches: Iterable[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """Entries of each file, by first place, from sorted rows of ``_pieces``. A file that has ``FILE_BYTES`` ends where a term or block does."""
+    entries, bytes_, name, last, held, size = [], 0, None, None, [], 0
+
+    def close() -> None:
+        nonlocal bytes_, held, size
+        if held:
+            places = np.concatenate(held)
+            at = places[:, 0].astype(np.uint64) << np.uint64(32) | places[:, 1]
+            if (at[1:] < at[:-1]).any():
+                order = np.argsort(at)
+                at, places = at[order], places[order]
+            entries.append((int(at[0]), _packed(name, places)))
+            bytes_, held, size = bytes_ + len(entries[-1][1]), [], 0
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        for term, block, places in _places(batch):
+            if term != name or (block != last and bytes_ + size >= FILE_BYTES):
+                close()
+                if bytes_ >= FILE_BYTES:
+                    yield [x for _, x in sorted(entries)]
+                    entries, bytes_ = [], 0
+            name, last = term, block
+            held.append(places)
+            size += places.nbytes
+    close()
+    if entries:
+        yield [x for _, x in sorted(entries)]
+
+
 def save_binary(index: Index, path: str, files: int | None = None) -> DataFrame:
     """Files in the little-endian layout in the folder ``path``, which all executors reach: ``file, terms`` of each.
 
-    Terms go by first appearance, postings by document and position, dealt to files by ranges of all three, so a
-    frequent term is spread over files that each hold a part of its postings. Each file is an index of its own, and
-    ``read_binary`` of the folder is the whole. A task that runs again writes the same bytes to the same file.
+    Postings are dealt to files by ranges of terms and of blocks of documents, so a frequent term is spread over files
+    that each hold a part of its postings. Each file is an index of its own, in which terms go by first appearance and
+    postings by document and position; ``read_binary`` of the folder is the whole. A task that runs again writes the same
+    bytes to the same files.
+
+    A task's postings are packed by term and block before they are sent, so the one shuffle holds pieces and not postings.
     """
     spark = index.postings.sparkSession
     prepare(spark)
-    parts = _ordered(index).repartitionByRange(*([files] if files else []), "term_ord", "doc_id", "pos").sortWithinPartitions("term_ord", "doc_id", "pos")
+    pieces = index.postings.select("term", "doc_id", "pos").mapInArrow(_pieces, "term string, block long, wide boolean, places binary")
+    parts = pieces.repartitionByRange(*([files] if files else []), "term", "block").sortWithinPartitions("term", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         system, folder = filesystem(path)
-        name, count = f"part-{TaskContext.get().partitionId():06d}.dat", 0
-        body = io.BytesIO()
-        for entry in _entries(batches):
-            body.write(entry)
-            count += 1
-        if count:
+        for n, entries in enumerate(_files(batches)):
+            name = f"part-{TaskContext.get().partitionId():06d}-{n:06d}.dat"
             with system.open_output_stream(f"{folder}/{name}", compression=None) as f:
-                f.write(struct.pack("<III", MAGIC, BINARY_VERSION, count))
-                f.write(body.getbuffer())
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([count], pa.int64())], names=["file", "terms"])
+                f.write(struct.pack("<III", MAGIC, BINARY_VERSION, len(entries)))
+                f.write(b"".join(entries))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(entries)], pa.int64())], names=["file", "terms"])
 
     remove(spark, path)
     system, folder = filesystem(path)
     system.create_dir(folder, recursive=True)
-    return stored(parts.select("term", "doc_id", "pos").mapInArrow(run, "file string, terms long"), "files")
+    return stored(parts.mapInArrow(run, "file string, terms long"), "files")
 
 
 def encode_binary(index: Index) -> bytes:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern import oracle as O
 from quern.functions import text as T
 from quern.operators import cache, index, present, search, session
-from quern.plans.shared import filesystem, new_path, stored
+from quern.plans.shared import dropped, filesystem, new_path, stored
 from quern.sources import files
 from quern.streaming import indexing
 
@@ -175,7 +175,9 @@ def index_roundtrip(spark, d):
 @query(f"WITH t AS ({O.TOKENS}) {POSTINGS}")
 def binary_roundtrip(spark, d):
     path = new_path(spark, "binary")
-    index.save_binary(index.build(documents(spark, d)), path)
+    own = index.build(documents(spark, d))
+    index.save_binary(own, path)
+    dropped(own.postings)
     return _postings(index.read_binary(spark, path))
 
 

@@ -236,6 +236,25 @@ def test_binary_files_of_many_partitions(spark, small_partitions, tmp_path):
     assert got.count() == want.count() and got.exceptAll(want).isEmpty()
 
 
+def test_binary_files_of_mixed_places(monkeypatch):
+    """Documents out of order in several blocks, positions beyond 16 bits, a file's end within a term: each file by first place, the whole complete."""
+    rnd = random.Random(5)
+    rows = [(f"w{rnd.randrange(5)}", rnd.choice([3, 20_000, 50_000, 2**32 - 1]), rnd.choice([rnd.randrange(90), rnd.randrange(2**20)])) for _ in range(3000)] + [("é", 0, 2**31 - 1)]
+    batches = [pa.RecordBatch.from_pydict({"term": pa.array(t), "doc_id": pa.array(d, pa.int64()), "pos": pa.array(p, pa.int32())}) for t, d, p in (zip(*rows[i : i + 700]) for i in range(0, len(rows), 700))]
+    monkeypatch.setattr(index, "PIECE_ROWS", 1000)
+    for most in (1 << 24, 500):
+        monkeypatch.setattr(index, "FILE_BYTES", most)
+        pieces = pa.Table.from_batches(list(index._pieces(batches))).sort_by([("term", "ascending"), ("block", "ascending")])
+        files = [list(index.decode_binary(index.struct.pack("<III", index.MAGIC, 1, len(x)) + b"".join(x))) for x in index._files(pieces.to_batches(max_chunksize=7))]
+        assert sorted(sum(files, [])) == sorted(rows) and (len(files) > 5) == (most == 500)
+        for rows_ in files:
+            first = {t: min(r[1:] for r in rows_ if r[0] == t) for t in {r[0] for r in rows_}}
+            assert rows_ == sorted(rows_, key=lambda r: (first[r[0]], r))
+    for doc in (None, -1, 1 << 32):
+        with pytest.raises(ValueError):
+            list(index._pieces([pa.RecordBatch.from_pydict({"term": pa.array(["a", "a"]), "doc_id": pa.array([1, doc], pa.int64()), "pos": pa.array([0, 1], pa.int32())})]))
+
+
 def shuffled(df):
     """The most rows that one exchange of the plan has written, after the plan has run."""
     rows, todo = [0], [df._jdf.queryExecution().executedPlan()]
@@ -254,6 +273,23 @@ def shuffled(df):
     return max(rows)
 
 
+def stages(spark):
+    """Number and rows sent of the session's stages."""
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return [{"id": found.apply(i).stageId(), "sent": found.apply(i).shuffleWriteRecords()} for i in range(found.size())]
+
+
+def test_binary_files_send_no_postings(spark, tmp_path):
+    """400 documents of 100 words, 10 of them different: 40,000 postings."""
+    own = index.build(spark.range(400).selectExpr("id AS doc_id", "repeat('wa wb wc wd we wf wg wh wi wj ', 10) AS text"))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = {x["id"] for x in stages(spark)}
+    index.save_binary(own, f"file://{tmp_path}/binary")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert sum(x["sent"] for x in stages(spark) if x["id"] not in before) < 4000
+    assert index.read_binary(spark, f"file://{tmp_path}/binary").exceptAll(own.postings.select("term", "doc_id", "pos")).isEmpty()
+
+
 def test_batch_search_writes_no_table_of_pairs(spark):
     """400 documents and 300 queries of a word that all hold: 120,000 pairs."""
     own = index.build(spark.range(400).selectExpr("id AS doc_id", "concat('common w', id % 7) AS text"))
