@@ -21,7 +21,7 @@ MAGIC, BINARY_VERSION = 0x5458544D, 1
 #: Postings of a batch that a reader of the binary layout hands on.
 BATCH_ROWS = 1 << 16
 #: Postings that a task packs at once, and bits of a document id within a block, 16 at most.
-PIECE_ROWS, BLOCK_BITS = 1 << 21, 14
+PIECE_ROWS, BLOCK_BITS = 1 << 22, 14
 #: Bytes at which a file of the binary layout ends.
 FILE_BYTES = 16 << 20
 #: A place in a piece, by whether a position needs more than 16 bits.
@@ -230,8 +230,8 @@ def _files(batches: Iterable[pa.RecordBatch]) -> Iterator[list[bytes]]:
 def save_binary(index: Index, path: str, files: int | None = None) -> DataFrame:
     """Files in the little-endian layout in the folder ``path``, which all executors reach: ``file, terms`` of each.
 
-    Postings are dealt to files by ranges of terms and of blocks of documents, so a frequent term is spread over files
-    that each hold a part of its postings. Each file is an index of its own, in which terms go by first appearance and
+    Postings are dealt to files by the hash of term and block of documents, so a frequent term is spread over files that
+    each hold a part of its postings; ranges would need all postings packed twice, once to sample them. Each file is an index of its own, in which terms go by first appearance and
     postings by document and position; ``read_binary`` of the folder is the whole. A task that runs again writes the same
     bytes to the same files.
 
@@ -240,7 +240,7 @@ def save_binary(index: Index, path: str, files: int | None = None) -> DataFrame:
     spark = index.postings.sparkSession
     prepare(spark)
     pieces = index.postings.select("term", "doc_id", "pos").mapInArrow(_pieces, "term string, block long, wide boolean, places binary")
-    parts = pieces.repartitionByRange(*([files] if files else []), "term", "block").sortWithinPartitions("term", "block")
+    parts = pieces.repartition(*([files] if files else []), "term", "block").sortWithinPartitions("term", "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
